@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +45,21 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _LOCAL_BASE[0].name
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per context; they may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quire_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="quire-ship-")
+    target = os.path.join(folder, "quire_package.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    sc.addPyFile(target)
+    sc._quire_shipped = True
+
+
 class Stage:
     """Intermediate tables written to the shared folder, to cut lineage where a loop would grow it.
 
