@@ -3,10 +3,18 @@ against brute force, a round trip or planted cases."""
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, splitting, tokenizer
+from quire.llm import mixing, packing, scans, splitting, tokenizer, truncation
 from quire.session import table
 
 
+def p1_found(spark, sf_dir):
+    return scans.found(table(spark, sf_dir, "structural_nodes"))
+
+
+def p1_paragraphs(spark, sf_dir):
+    return scans.paragraphs(table(spark, sf_dir, "structural_nodes"))
+
+
 def p3_found(spark, sf_dir):
     return splitting.found(table(spark, sf_dir, "structural_nodes"))
 
@@ -35,5 +43,13 @@ def p7_shares(spark, sf_dir):
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_containers, p6_ids, p7_mixture, p7_shares)}
+def p8_found(spark, sf_dir):
+    return truncation.found(table(spark, sf_dir, "documents"))
+
+
+def p8_sources(spark, sf_dir):
+    return truncation.by_source(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_pieces, p4_found, p4_containers, p6_ids, p7_mixture, p7_shares, p8_found, p8_sources)}
 SQL: dict[str, str] = {}
