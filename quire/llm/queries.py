@@ -3,7 +3,7 @@ against brute force, a round trip or planted cases."""
 
 from __future__ import annotations
 
-from quire.llm import mixing, packing, scans, splitting, tokenizer, truncation
+from quire.llm import alignment, mixing, packing, scans, splitting, tokenizer, truncation
 from quire.session import table
 
 
@@ -15,6 +15,14 @@ def p1_paragraphs(spark, sf_dir):
     return scans.paragraphs(table(spark, sf_dir, "structural_nodes"))
 
 
+def p2_found(spark, sf_dir):
+    return alignment.found(table(spark, sf_dir, "translation_units"))
+
+
+def p2_pairs(spark, sf_dir):
+    return alignment.align(table(spark, sf_dir, "translation_units"))
+
+
 def p3_found(spark, sf_dir):
     return splitting.found(table(spark, sf_dir, "structural_nodes"))
 
@@ -51,5 +59,5 @@ def p8_sources(spark, sf_dir):
     return truncation.by_source(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p3_found, p3_pieces, p4_found, p4_containers, p6_ids, p7_mixture, p7_shares, p8_found, p8_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paragraphs, p2_found, p2_pairs, p3_found, p3_pieces, p4_found, p4_containers, p6_ids, p7_mixture, p7_shares, p8_found, p8_sources)}
 SQL: dict[str, str] = {}
