@@ -68,3 +68,22 @@ def running_total(
         .withColumn(out, F.col("__in") + F.coalesce(F.col("__before"), F.lit(0)))
         .select(*df.columns, out)
     )
+
+
+def running_total_blocks(df: DataFrame, keys: list[str], block: Column, order: list[str], value: Column, out: str) -> DataFrame:
+    """Exclusive running total of ``value`` in each group of ``keys`` in ``order``, where ``block`` is a whole
+    number that never falls along that order (a position divided by a block's length).
+
+    Each block is summed on its own; the totals of the blocks before it, one row for each block, are
+    added by a join.
+    """
+    cut = df.withColumn("__b", block.cast("bigint")).withColumn("__v", value)
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = cut.withColumn("__in", F.coalesce(F.sum("__v").over(w), F.lit(0)))
+    totals = cut.groupBy(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__b").alias("__rb")).agg(F.sum("__v").alias("__rv"))
+    wr = Window.partitionBy(*[f"__r_{k}" for k in keys]).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("__before", F.coalesce(F.sum("__rv").over(wr), F.lit(0))).drop("__rv")
+    cond = F.col("__b").eqNullSafe(F.col("__rb"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    return inner.join(before, cond, "left").withColumn(out, F.col("__in") + F.coalesce(F.col("__before"), F.lit(0))).select(*df.columns, out)

@@ -1,0 +1,22 @@
+"""Named queries over the tables, each with the DuckDB SQL that gives the same rows where SQL can."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class Plans:
+    """Collects the queries of a module."""
+
+    def __init__(self):
+        self.queries: dict[str, Callable] = {}
+        self.sql: dict[str, str] = {}
+
+    def add(self, sql: str | None = None):
+        def take(f: Callable) -> Callable:
+            self.queries[f.__name__] = f
+            if sql is not None:
+                self.sql[f.__name__] = sql
+            return f
+
+        return take
