@@ -187,7 +187,7 @@ def query(records: DataFrame, relations: DataFrame | None, request: Request) ->
     """(rank, memory_id, score, relation_source_id, matched_fields, match_reasons): direct hits by falling
     score, then related records in the order of their sources; the limit counts both."""
     hits = direct(records, request)
-    out = hits.select(F.lit(0).alias("part"), -F.coalesce("score", F.lit(0.0)).alias("by"), F.col("memory_id").alias("by_id"), "memory_id", "score", F.lit(None).cast("string").alias("relation_source_id"), "matched_fields", "match_reasons")
+    out = hits.select(F.lit(0).alias("part"), (-F.coalesce("score", F.lit(0.0))).alias("by"), F.col("memory_id").alias("by_id"), "memory_id", "score", F.lit(None).cast("string").alias("relation_source_id"), "matched_fields", "match_reasons")
     if request.include_related and relations is not None:
         hop = one_hop(hits, relations, records, request)
         scores = hits.select(F.col("memory_id").alias("s_id"), F.coalesce("score", F.lit(0.0)).alias("s"))
