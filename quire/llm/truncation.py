@@ -30,7 +30,7 @@ CONCENTRATED = 0.97
 PILE_TEXTS, PILE_TIMES = 5, 20
 
 #: Marks of omission at the end of a text.
-_MARK = re.compile(r"\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|truncated|cut|more)\s*\]|\(\s*(?:…|\.\.\.|truncated|continued|more)\s*\))\s*$", re.I)
+_MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|truncated|cut|more)\s*\]|\(\s*(?:…|\.\.\.|truncated|continued|more)\s*\)))+\s*$", re.I)
 _STOP = re.compile(r"[.!?。！？](?:[\"'”’)\]）」』*_]|\s?\[\d+\])*$")
 _ABBREVIATION = re.compile(r"\b(?:Fig|Figs|Eq|Eqs|No|Vol|Ch|Sec|vs|cf|e\.g|i\.e)\.$")
 _LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])(?:\s+|$)")
