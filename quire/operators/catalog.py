@@ -208,4 +208,4 @@ def description(content: Column, limit: int = 280) -> Column:
 
     blocks = F.filter(F.transform(F.split(content, "\n\n"), lines), lambda x: x != "")
     plain = F.array_join(F.filter(F.transform(F.split(content, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), "^#+", ""))), lambda x: x != ""), " ")
-    return F.substring(F.when(F.size(blocks) > 0, F.element_at(blocks, 1)).otherwise(plain), 1, limit)
+    return F.substring(F.when(F.size(blocks) > 0, F.get(blocks, F.lit(0))).otherwise(plain), 1, limit)

@@ -9,8 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from quire.operators.state import top_k
 from quire.session import ship
 
 #: A rule: called with a key for its state; the state's ``send(row)`` gives the output values of a row.
@@ -138,6 +140,44 @@ def budget_rule(budget: int) -> Rule:
     return make
 
 
+def select_within_budget(df: DataFrame, key: str, order: list[str], tokens: Column, required: Column, budget: int) -> DataFrame:
+    """(key, order, state): rows of each group within a budget of tokens, required ones first, then the
+    others in ``order``, each if it still fits; state is 'selected' or 'budget_trimmed'.
+
+    Of the rows of one size only as many as the rest of the budget holds of it can be taken, and the
+    first ones at that.  So a group's walk has at most budget * (1 + ln budget) rows besides the
+    required ones, which are only summed, whatever the group's length; all other rows are trimmed.
+    """
+    t = df.withColumn("__t", F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint")).withColumn("__r", F.coalesce(required, F.lit(False)))
+    must = t.filter("__r")
+    spent = must.groupBy(F.col(key).alias("__k")).agg(F.sum("__t").alias("__spent"))
+    rest = t.filter("NOT __r").join(spent, F.col(key).eqNullSafe(F.col("__k")), "left")
+    left = F.greatest(F.lit(budget) - F.coalesce("__spent", F.lit(0)), F.lit(0))
+    rest = rest.withColumn("__left", left).withColumn("__most", F.floor(F.col("__left") / F.greatest("__t", F.lit(1))))
+    columns = list(dict.fromkeys([key, *order]))
+    some = top_k(rest.filter("__most > 0 AND __t > 0").select(*columns, "__t", "__left", "__most"), [key, "__t"], [F.asc(c) for c in order], F.col("__most"))
+
+    def walk():
+        used = None
+
+        def step(row: tuple) -> tuple:
+            nonlocal used
+            size, room = int(row[0]), int(row[1])
+            used = used or 0
+            if used + size <= room:
+                used += size
+                return ("selected", used)
+            return ("budget_trimmed", used)
+
+        return step
+
+    walked = ordered_fold(some, key, order, ["__t", "__left"], walk, "state STRING, walked BIGINT")
+    w = walked.filter("state = 'selected'").select(*[F.col(c).alias(f"__w_{c}") for c in columns], "state")
+    same = [F.col(c).eqNullSafe(F.col(f"__w_{c}")) for c in columns]
+    others = rest.join(w, same, "left").select(*columns, F.when((F.col("__t") == 0) & (F.coalesce("__spent", F.lit(0)) <= budget), "selected").otherwise(F.coalesce("state", F.lit("budget_trimmed"))).alias("state"))
+    return must.select(*columns, F.lit("selected").alias("state")).unionByName(others)
+
+
 def limit_rule(start: int = 16, most: int = 64, every: int = 30) -> Rule:
     """Simulation of an adaptive limit over a log of HTTP codes: two more for each ``every`` successes in a
     row, half after a 429, three quarters after a 503, never below 1; other codes leave it."""

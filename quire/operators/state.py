@@ -14,8 +14,8 @@ def once(df: DataFrame, *columns: str) -> DataFrame:
     return (df.select(*columns) if columns else df).distinct()
 
 
-def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, parts: int = 64) -> DataFrame:
-    """Of each group of ``keys`` the first k rows in ``order``.  The first k of each of `parts` shares of a
+def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, parts: int = 64) -> DataFrame:
+    """Of each group of ``keys`` the first k rows in ``order`` (k may be a column that is equal in a group).  The first k of each of `parts` shares of a
     group come before the group's own, so a hot group isn't sorted whole; null keys form a group."""
     rest = [c for c in df.columns if c not in keys and not _is_nested(df, c)]
     spread = df.withColumn("__part", F.pmod(F.xxhash64(*rest), F.lit(parts)))

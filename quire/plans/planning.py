@@ -73,14 +73,14 @@ f(document_id, n, id, state, used) AS (
   UNION ALL
   SELECT c.document_id, c.n, c.id, CASE WHEN required OR used + tokens <= {CONTEXT} THEN 'selected' ELSE 'budget_trimmed' END, CASE WHEN required OR used + tokens <= {CONTEXT} THEN used + tokens ELSE used END
   FROM f JOIN c ON c.document_id = f.document_id AND c.n = f.n + 1)
-SELECT document_id, id AS node_id, state, used::BIGINT AS used_tokens FROM f
+SELECT document_id, id AS node_id, state FROM f
 """)
 def budget_select(spark, sf_dir):
     """What fits a token budget of each file: its headings always, then other nodes in order."""
     n = once(table(spark, sf_dir, "structural_nodes"), "id", "document_id", "sequence_index", "node_type", "source_text")
-    n = n.select("id", "document_id", "sequence_index", estimate_tokens(F.col("source_text")).alias("tokens"), (F.col("node_type") == "heading").alias("required"), F.when(F.col("node_type") == "heading", 0).otherwise(1).alias("later"))
-    f = folds.ordered_fold(n, "document_id", ["later", "sequence_index", "id"], ["tokens", "required"], folds.budget_rule(CONTEXT), "state STRING, used_tokens BIGINT")
-    return f.select("document_id", F.col("id").alias("node_id"), "state", "used_tokens")
+    n = n.select("id", "document_id", "sequence_index", estimate_tokens(F.col("source_text")).alias("tokens"), (F.col("node_type") == "heading").alias("required"))
+    f = folds.select_within_budget(n, "document_id", ["sequence_index", "id"], F.col("tokens"), F.col("required"), CONTEXT)
+    return f.select("document_id", F.col("id").alias("node_id"), "state")
 
 
 @P.add()
