@@ -283,7 +283,7 @@ def containers(nodes: DataFrame, capacity: int = 1024, group: int = 8) -> DataFr
     slots = slots.select("u_document_id", "u_size", ranges.alias("ranges"))
     ranked = running_total(cut.filter("rest > 0").select("id", "document_id", "rest", "full"), ["document_id", "rest"], F.xxhash64("id"), ["id"], F.lit(1).cast("bigint"), "rank", rows)
     packed = ranked.join(slots, F.col("document_id").eqNullSafe(F.col("u_document_id")) & (F.col("rest") == F.col("u_size"))).withColumn(
-        "r", F.element_at(F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), 1)
+        "r", F.get(F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), F.lit(0))
     ).select(
         "document_id", (F.col("r.first") + F.floor((F.col("rank") - F.col("r.lo")) / F.col("r.k"))).alias("container"), F.col("r.fill").alias("fill"),
         F.col("id").alias("node_id"), (F.col("full") + 1).cast("int").alias("part"), F.col("rest").alias("tokens"),
