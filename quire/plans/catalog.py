@@ -70,11 +70,11 @@ w AS (SELECT memory_id, {TERMS.format('title')} AS a, {TERMS.format('description
 l AS (SELECT memory_id, list_concat(list_concat(a, b), list_concat(c, t)) AS x FROM w), n AS (SELECT count(*) AS n_docs, avg(len(x)) AS avg_len FROM l),
 tf AS (SELECT memory_id, len(x) AS len, q.term, len(list_filter(x, lambda y: y = q.term)) AS tf FROM l, (VALUES ('weld'), ('seam')) q(term)),
 df AS (SELECT term, count(*) AS df FROM tf WHERE tf > 0 GROUP BY ALL)
-SELECT memory_id, greatest(sum((CASE WHEN ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 0) AS score
+SELECT memory_id, round(greatest(sum((CASE WHEN ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) END) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 0), 6) AS score
 FROM tf JOIN df USING (term), n WHERE tf > 0 GROUP BY memory_id HAVING count(*) = 2
 """)
 def memory_bm25(spark, sf_dir):
-    return C.bm25(notes(spark, sf_dir), ["weld", "seam"]).select("memory_id", "score")
+    return C.bm25(notes(spark, sf_dir), ["weld", "seam"]).select("memory_id", F.round("score", 6).alias("score"))
 
 
 @P.add(f"WITH {NOTES} SELECT status, memory_type, count(*) AS records, sum(len(tags))::BIGINT AS tags FROM notes GROUP BY ALL")

@@ -204,7 +204,7 @@ def line_counts(spark, sf_dir):
 
 @P.add(r"""
 SELECT id AS document_id, coalesce(regexp_matches(source_sha256, '^(sha256:)?[0-9a-f]{64}$'), false) AS digest_ok, coalesce(regexp_matches(source_path, '^/([^/]+/)*[^/]+$') AND NOT contains(source_path, '..'), false) AS path_ok,
-  strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created, (updated_at >= created_at) AS in_order FROM document_files
+  strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS created, (updated_at >= created_at) AS in_order FROM document_files
 """)
 def file_checks(spark, sf_dir):
     p = F.col("source_path")

@@ -96,12 +96,12 @@ def file_progress(spark, sf_dir):
 
 
 @P.add("""
-SELECT date_trunc('day', updated_at)::DATE AS day, count(*) AS files, count_if(status LIKE 'ocr_complete%' OR contains(status, 'translation_complete') OR status = 'qa_complete')::BIGINT AS completed,
+SELECT strftime(updated_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS files, count_if(status LIKE 'ocr_complete%' OR contains(status, 'translation_complete') OR status = 'qa_complete')::BIGINT AS completed,
   count_if(status = 'failed')::BIGINT AS failed, count_if(contains(status, 'with_warnings'))::BIGINT AS with_warnings FROM document_files GROUP BY ALL
 """)
 def nightly_rollup(spark, sf_dir):
     s = F.col("status")
-    return table(spark, sf_dir, "document_files").groupBy(F.to_date("updated_at").alias("day")).agg(
+    return table(spark, sf_dir, "document_files").groupBy(F.date_format("updated_at", "yyyy-MM-dd").alias("day")).agg(
         F.count(F.lit(1)).alias("files"), F.count_if(s.startswith("ocr_complete") | s.contains("translation_complete") | (s == "qa_complete")).alias("completed"),
         F.count_if(s == "failed").alias("failed"), F.count_if(s.contains("with_warnings")).alias("with_warnings"),
     )
