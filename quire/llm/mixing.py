@@ -43,23 +43,25 @@ def _queue(documents: DataFrame, targets: DataFrame, path: str | None, pattern:
     """(rows used, tokens by source, budget)."""
     stage = Stage(documents.sparkSession, "mixing")
     docs = _tokens(stage, documents, targets, path, pattern)
-    per = docs.groupBy("source").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"))
+    per = docs.groupBy("source").agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most"), F.max("share").alias("share"))
     known = per.collect()  # one row for each source of the list
     budget, rows = sum(r.total for r in known), sum(r.n for r in known)
+    # What has begun by the fluid time covers the budget, so the cut comes no later than the longest of it ends.
+    top = _spent_at({r.source: r for r in known}, targets, budget) + max((r.most / r.share for r in known), default=0.0)
     # start tag of each document within its source, in a shuffled order
     tagged = running_total(docs, ["source"], F.xxhash64("doc_id", F.lit(7)), ["doc_id"], F.col("tokens"), "before", rows)
+    start = (F.col("before") + (F.col("repeat_no") - 1) * F.col("total")) / F.col("share")
     passes = (
         tagged.join(F.broadcast(per.select("source", "total")), "source")
-        # a pass that starts after the whole budget is spent can't be reached
-        .withColumn("last", F.least(F.col("repeats").cast("bigint"), F.ceil(F.lit(budget) / F.col("total")) + 1))
+        .withColumn("last", F.least(F.col("repeats").cast("bigint"), (F.floor(F.lit(top) * F.col("share") / F.col("total")) + 1).cast("bigint")))
         .filter("last > 0")
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("last"))))
+        .filter(start <= top)
         .withColumn("finish", (F.col("before") + F.col("tokens") + (F.col("repeat_no") - 1) * F.col("total")) / F.col("share"))
         .select("doc_id", "source", "repeat_no", "tokens", "finish")
     )
     queue = stage.write(passes, "queue")
-    top = 1.25 * _spent_at({r.source: r for r in known}, targets, budget)
-    cut = queue.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(top) * RANGES), F.lit(RANGES - 1)))
+    cut = queue.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(top or 1.0) * RANGES), F.lit(RANGES - 1)))
     sums = sorted((r.range, r.t) for r in cut.groupBy("range").agg(F.sum("tokens").alias("t")).collect())  # at most RANGES rows
     spent, edge = 0, RANGES
     for k, t in sums:
