@@ -87,3 +87,24 @@ def running_total_blocks(df: DataFrame, keys: list[str], block: Column, order: l
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
     return inner.join(before, cond, "left").withColumn(out, F.col("__in") + F.coalesce(F.col("__before"), F.lit(0))).select(*df.columns, out)
+
+
+def running_max_blocks(df: DataFrame, keys: list[str], block: Column, order: list[str], values: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """``df`` with running maxima in each group of ``keys`` in ``order``; ``block`` as in running_total_blocks.
+
+    A value that is a struct led by its position makes this the last value that isn't null.  Each block
+    is scanned on its own; what the blocks before it carry over, one row for each, comes by a join.
+    """
+    cut = df.withColumn("__b", block.cast("bigint"))
+    for name, c in values.items():
+        cut = cut.withColumn(f"__v_{name}", c)
+    w = Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    inner = cut.select("*", *[F.max(f"__v_{n}").over(w).alias(f"__i_{n}") for n in values])
+    tops = cut.groupBy(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col("__b").alias("__rb")).agg(*[F.max(f"__v_{n}").alias(f"__t_{n}") for n in values])
+    wr = Window.partitionBy(*[f"__r_{k}" for k in keys]).orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
+    before = tops.select("*", *[F.max(f"__t_{n}").over(wr).alias(f"__c_{n}") for n in values]).drop(*[f"__t_{n}" for n in values])
+    cond = F.col("__b").eqNullSafe(F.col("__rb"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
+    out = inner.join(before, cond, "left")
+    return out.select(*df.columns, *[F.greatest(f"__i_{n}", f"__c_{n}").alias(n) for n in values])

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators.prefix import running_max_blocks
+
 
 def once(df: DataFrame, *columns: str) -> DataFrame:
     """The rows of a table in which some are delivered a second time, each once; nulls are equal."""
@@ -97,10 +99,10 @@ def carry_forward(partitions: DataFrame, capsules: DataFrame) -> DataFrame:
     """As-of join: for each partition the version of the capsule that was last frozen in an earlier
     partition of the same document, null before the first one."""
     own = capsules.groupBy(F.col("source_partition_id").alias("c_id")).agg(F.max("version").alias("frozen"))
-    w = Window.partitionBy("document_id").orderBy("sequence_index", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return partitions.join(own, F.col("id") == F.col("c_id"), "left").select(
-        "document_id", F.col("id").alias("partition_id"), "sequence_index", F.col("frozen").alias("frozen_version"), F.last("frozen", ignorenulls=True).over(w).alias("used_version")
-    )
+    p = partitions.join(own, F.col("id") == F.col("c_id"), "left").select("document_id", "id", "sequence_index", "frozen")
+    place = F.struct("sequence_index", "id")
+    p = running_max_blocks(p, ["document_id"], F.floor(F.col("sequence_index") / 4096), ["sequence_index", "id"], {"used": F.when(F.col("frozen").isNotNull(), F.struct(place, "frozen"))}, inclusive=False)
+    return p.select("document_id", F.col("id").alias("partition_id"), "sequence_index", F.col("frozen").alias("frozen_version"), F.col("used.frozen").alias("used_version"))
 
 
 def drift(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFrame:

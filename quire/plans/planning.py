@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import ATOMIC_TYPES
 from quire.functions.tokens import estimate_tokens
 from quire.operators import folds
 from quire.operators.hierarchy import title_of
+from quire.operators.prefix import running_max_blocks
 from quire.operators.state import once
 from quire.plans import Plans
 from quire.session import table
@@ -113,17 +113,21 @@ def heading_paths(spark, sf_dir):
     """The path of headings over each node by its place in the file: for each level the last heading, unless a higher one came after it."""
     n = once(table(spark, sf_dir, "structural_nodes"), "id", "document_id", "sequence_index", "node_type", "heading_level", "source_text").filter("sequence_index IS NOT NULL")
     lv = F.when((F.col("node_type") == "heading") & F.col("heading_level").between(1, 6), F.col("heading_level"))
-    p = n.select("id", "document_id", F.struct("sequence_index", "id").alias("pos"), lv.alias("lv"), F.when(lv.isNotNull(), title_of(F.col("source_text"))).alias("title"))
-    w = Window.partitionBy("document_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    titles = []
-    for k in _LEVELS:
-        at = F.max(F.when(F.col("lv") == k, F.struct("pos", "title"))).over(w)
-        above = F.max(F.when(F.col("lv") < k, F.col("pos"))).over(w)
-        p = p.withColumn(f"t{k}", F.when(above.isNull() | (at["pos"] > above), at["title"]))
-        titles.append(f"t{k}")
+    p = n.select("id", "document_id", "sequence_index", F.struct("sequence_index", "id").alias("pos"), lv.alias("lv"), F.when(lv.isNotNull(), title_of(F.col("source_text"))).alias("title"))
+    last = {f"t{k}": F.when(F.col("lv") == k, F.struct("pos", "title")) for k in _LEVELS}
+    p = running_max_blocks(p, ["document_id"], F.floor(F.col("sequence_index") / 4096), ["sequence_index", "id"], last)
+    titles = [F.when(F.lit(True) if k == 1 else _after(k), F.col(f"t{k}.title")) for k in _LEVELS]
     return p.select("document_id", F.col("id").alias("node_id"), F.concat_ws(" / ", *titles).alias("path"))
 
 
+def _after(k: int):
+    """Whether the last heading of level k stands behind all of higher levels."""
+    c = F.lit(True)
+    for j in range(1, k):
+        c = c & (F.col(f"t{j}.pos").isNull() | (F.col(f"t{k}.pos") > F.col(f"t{j}.pos")))
+    return c
+
+
 @P.add("""
 WITH RECURSIVE b AS (SELECT DISTINCT id, document_id, page_start AS a, page_end AS z FROM ocr_batches WHERE status = 'failed' AND page_start <= page_end),
 r(id, document_id, a, z, depth) AS (SELECT id, document_id, a, z, 0 FROM b

@@ -54,8 +54,9 @@ SELECT n.document_id, n.unit_key, n.source_hash, coalesce(p.status, 'pending') A
 def replan_preserve(spark, sf_dir):
     """A new plan that numbers the units afresh, with the work that it can keep."""
     u = S.once(table(spark, sf_dir, "translation_units"), "id", "document_id", "unit_key", "sequence_index", "source_hash", "status", "translation_text")
-    w = Window.partitionBy("document_id").orderBy(F.asc_nulls_last("sequence_index"), "id")
-    new = u.select("document_id", F.concat(F.lit("u"), F.lpad(F.row_number().over(w).cast("string"), 5, "0")).alias("unit_key"), "source_hash")
+    place = u.withColumn("at", F.coalesce("sequence_index", F.lit(2**62)))
+    n = running_total_blocks(place, ["document_id"], F.floor(F.col("at") / 4096), ["at", "id"], F.lit(1).cast("bigint"), "before")
+    new = n.select("document_id", F.concat(F.lit("u"), F.lpad((F.col("before") + 1).cast("string"), 5, "0")).alias("unit_key"), "source_hash")
     return S.replan(new, u).drop("translation_text")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,10 +13,10 @@ from quire.operators.state import latest
 USAGE = "prompt_tokens BIGINT, cache_hit_tokens BIGINT, cache_miss_tokens BIGINT, completion_tokens BIGINT, requests BIGINT, failures BIGINT"
 
 
-def discover(spark: SparkSession, root: str, glob: str = "*.pdf", recursive: bool = True) -> DataFrame:
-    """(path, bytes, modified) of files, without those inside folders of results."""
+def discover(spark: SparkSession, root: str, glob: str = "*.pdf", recursive: bool = True, results: tuple[str, ...] = (".results", ".translation")) -> DataFrame:
+    """(path, bytes, modified) of files, without those inside folders of results, which end so."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    inside = F.exists(F.split("path", "/"), lambda x: x.endswith(".solivagus") | x.endswith(".translation"))
+    inside = F.exists(F.split("path", "/"), lambda x: x.rlike("(" + "|".join(re.escape(e) for e in results) + ")$"))
     return f.filter(~inside).select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 

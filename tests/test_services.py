@@ -105,7 +105,7 @@ def test_stores(spark, tmp_path):
 
 
 def test_discover_and_import(spark, tmp_path):
-    for name in ("a.pdf", "sub/b.pdf", "x.solivagus/c.pdf", "note.txt"):
+    for name in ("a.pdf", "sub/b.pdf", "x.results/c.pdf", "note.txt"):
         (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "in" / name).write_bytes(b"1234")
     found = S.discover(spark, str(tmp_path / "in"))

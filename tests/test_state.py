@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.operators import state as S
-from quire.operators.prefix import running_total_blocks
+from quire.operators.prefix import running_max_blocks, running_total_blocks
 
 
 def rows(df):
@@ -61,3 +61,18 @@ def test_running_total_over_blocks(spark):
     got = running_total_blocks(df, ["k"], F.floor(F.col("i") / 16), ["i"], F.col("v"), "t").collect()
     for r in got:
         assert r.t == sum(x % 9 for x in range(r.i))
+
+
+def test_running_max_over_blocks(spark):
+    df = spark.createDataFrame([(k, i, (i * 7) % 31 if i % 3 else None) for k in ("a", None) for i in range(150)], "k STRING, i BIGINT, v BIGINT")
+    for inclusive in (True, False):
+        for r in running_max_blocks(df, ["k"], F.floor(F.col("i") / 16), ["i"], {"m": F.col("v")}, inclusive).collect():
+            seen = [(x * 7) % 31 for x in range(r.i + inclusive) if x % 3]
+            assert r.m == (max(seen) if seen else None)
+
+
+def test_carry_forward(spark):
+    p = spark.createDataFrame([(i, 1, i) for i in range(1, 6)] + [(9, None, 1)], "id BIGINT, document_id BIGINT, sequence_index BIGINT")
+    c = spark.createDataFrame([(2, 7), (2, 8), (4, 1), (None, 3)], "source_partition_id BIGINT, version BIGINT")
+    got = {r.partition_id: (r.frozen_version, r.used_version) for r in S.carry_forward(p, c).collect()}
+    assert got == {1: (None, None), 2: (8, None), 3: (None, 8), 4: (1, 8), 5: (None, 1), 9: (None, None)}
