@@ -1,7 +1,7 @@
 """Detection of texts that lost their end, by the vocabulary of the corpus.
 
 One pass of Arrow batches reads each text whole and gives a row per document (how its end looks) and
-batch-wise counts of words, of short lines and of the last words of lines; the counts are summed, the
+each task's counts of words, of short lines and of the last words of lines; the counts are summed, the
 known words and lines are laid out as a trie table (one row per proper prefix), and the ends of the
 documents are looked up in it by equi-joins.  Nothing is collected or broadcast.
 """
@@ -13,7 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +34,10 @@ _MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|truncated|cut|more)\
 _STOP = re.compile(r"[.!?。！？](?:[\"'”’)\]）」』*_]|\s?\[\d+\])*$")
 _ABBREVIATION = re.compile(r"\b(?:Fig|Figs|Eq|Eqs|No|Vol|Ch|Sec|vs|cf|e\.g|i\.e)\.$")
 _LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])(?:\s+|$)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_NARROW = "[^\\W\\d_" + WIDE_CLASS[1:]  # a letter that isn't of a wide script
+_WORD = re.compile(rf"{_NARROW}+(?:['’-]{_NARROW}+)*")
 _FINAL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]*)*$")
+_BULLETS = frozenset("-*+0123456789")
 _URL = re.compile(r"https?://\S*$")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^()\s]+\)$")
 _WIDE = re.compile(WIDE_CLASS)
@@ -46,13 +48,11 @@ _TAGS = re.compile(r"<(/?)(table|div|thead|tbody|ul|ol|pre)\b[^>]*>", re.I)
 def line_kind(line: str) -> tuple[str, str] | None:
     """(kind, content with digits masked) of a line that needs no full stop, else None."""
     s = line.strip()
-    m = _URL.search(s)
-    if m:
+    if "://" in s and (m := _URL.search(s)):
         return "url", m.group()
     if s.startswith("#"):
         return "heading", _DIGITS.sub("#", s.lstrip("#").strip())
-    m = _LIST.match(line)
-    if m:
+    if s[:1] in _BULLETS and (m := _LIST.match(line)):
         return "list", _DIGITS.sub("#", line[m.end() :].strip())
     return None
 
@@ -132,20 +132,33 @@ def _trimmed(text: str) -> str:
 def _read(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("what", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("word", pa.string()), ("end", pa.string()), ("state", pa.string()), ("marked", pa.bool_()), ("n", pa.int64()), ("bytes", pa.int64())])
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+    def counted(words: Counter, lines: Counter, ends: Counter) -> pa.RecordBatch:
+        rows = [("word", None, None, "word", w, None, None, None, None, n, None) for w, n in words.items() if len(w) <= TRIE_CHARS]
+        rows += [("line", None, None, k, x, None, None, None, None, n, None) for (k, x), n in lines.items()]
+        rows += [("end", None, s, k, x, None, None, None, None, n, None) for (s, k, x), n in ends.items()]
+        for c in (words, lines, ends):
+            c.clear()
+        return batch(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, lines, ends = Counter(), Counter(), Counter()
         for b in batches:
-            rows, words, lines, ends = [], Counter(), Counter(), Counter()
-            for d, source, text in zip(b["doc_id"], b["source"], b["text"]):
-                if text is None or not text.strip():
+            rows = []
+            for d, source, text in zip(*(c.to_pylist() for c in b.columns)):
+                if not text or text.isspace():
                     continue
                 state, kind, marked = ending(text)
                 tail = _trimmed(text)
                 final = _FINAL.search(tail)
-                words.update(w.lower() for w in _WORD.findall(tail[: final.start()] if final else tail) if len(w) <= TRIE_CHARS and not _WIDE.match(w))
+                words.update(_WORD.findall((tail[: final.start()] if final else tail).lower()))
                 parts = tail.split("\n")
                 for i, line in enumerate(parts):
-                    if not line.strip():
-                        continue
                     k = line_kind(line)
                     if k:
                         ends[source, k[0], last_word(k[1])] += 1
@@ -154,13 +167,12 @@ def _read(documents: DataFrame) -> DataFrame:
                 k = line_kind(parts[-1]) if state == "check" else None
                 word = final.group().lower() if final and not _WIDE.search(final.group()) else None
                 rows.append(("doc", d, source, kind, k[1] if k else None, word, last_word(k[1]) if k else None, state, marked, len(text), len(text.encode("utf-8", "replace"))))
-            rows += [("word", None, None, "word", w, None, None, None, None, n, None) for w, n in words.items()]
-            rows += [("line", None, None, k, x, None, None, None, None, n, None) for (k, x), n in lines.items()]
-            rows += [("end", None, s, k, x, None, None, None, None, n, None) for (s, k, x), n in ends.items()]
-            out = pd.DataFrame(rows, columns=["what", "doc_id", "source", "kind", "text", "word", "end", "state", "marked", "n", "bytes"])
-            yield out.astype({"doc_id": "Int64", "n": "Int64", "bytes": "Int64", "marked": "boolean"})
+            yield batch(rows)
+            if len(words) + len(lines) + len(ends) > 300_000:
+                yield counted(words, lines, ends)
+        yield counted(words, lines, ends)
 
-    return documents.select("doc_id", "source", "text").mapInPandas(
+    return documents.select("doc_id", "source", "text").mapInArrow(
         run, "what STRING, doc_id BIGINT, source STRING, kind STRING, text STRING, word STRING, end STRING, state STRING, marked BOOLEAN, n BIGINT, bytes BIGINT"
     )
 
