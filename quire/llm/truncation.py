@@ -62,16 +62,28 @@ def last_word(content: str) -> str:
     return parts[-1].lower() if parts else ""
 
 
+def _trimmed(text: str) -> tuple[str, bool]:
+    """The text without marks of omission and white space at its end, and whether it had such a mark."""
+    tail, marked = text.rstrip(), False
+    while True:
+        m = _MARK.search(tail, max(0, len(tail) - 40))  # a mark is short; several go one by one
+        if not m or m.start() == 0:
+            return tail, marked
+        tail, marked = tail[: m.start()].rstrip(), True
+
+
+def final_word(tail: str) -> re.Match | None:
+    """The word at the end; none if it is longer than what the trie holds."""
+    m = _FINAL.search(tail, max(0, len(tail) - 2 * TRIE_CHARS))
+    return m if m and (m.start() == 0 or len(m.group()) < 2 * TRIE_CHARS) else None
+
+
 def ending(text: str) -> tuple[str, str, bool]:
     """(state, kind, marked) of the end of a text that isn't blank.
 
     state: 'cut' where the form alone shows that something is open, 'complete', or 'check' where the
     last line is of a kind that needs no full stop."""
-    tail = text.rstrip()
-    m = _MARK.search(tail)
-    marked = m is not None and m.start() > 0
-    if marked:
-        tail = tail[: m.start()].rstrip()
+    tail, marked = _trimmed(text)
     last = tail.rsplit("\n", 1)[-1].strip()
     if tail.endswith("�"):
         return "cut", "bytes", marked
@@ -123,12 +135,6 @@ def ending(text: str) -> tuple[str, str, bool]:
     return "cut", "prose", marked
 
 
-def _trimmed(text: str) -> str:
-    tail = text.rstrip()
-    m = _MARK.search(tail)
-    return tail[: m.start()].rstrip() if m and m.start() > 0 else tail
-
-
 def _read(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
 
@@ -154,8 +160,8 @@ def _read(documents: DataFrame) -> DataFrame:
                 if not text or text.isspace():
                     continue
                 state, kind, marked = ending(text)
-                tail = _trimmed(text)
-                final = _FINAL.search(tail)
+                tail, _ = _trimmed(text)
+                final = final_word(tail)
                 words.update(_WORD.findall((tail[: final.start()] if final else tail).lower()))
                 parts = tail.split("\n")
                 for i, line in enumerate(parts):
