@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import io
 import tempfile
 import uuid
 import zipfile
@@ -52,15 +52,25 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_quire_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="quire-ship-")
-    target = os.path.join(folder, "quire_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, Path(root.name) / p.relative_to(root))
+    target = f"{shared_dir(spark)}/quire-ship-{uuid.uuid4().hex}/quire_package.zip"
+    fs, path = hadoop_path(spark, target)
+    out = fs.create(path)
+    out.write(bytearray(packed.getvalue()))
+    out.close()
     sc.addPyFile(target)
     sc._quire_shipped = True
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a location."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 class Stage:
     """Intermediate tables written to the shared folder, to cut lineage where a loop would grow it.
 
@@ -74,11 +84,6 @@ class Stage:
         self.count = 0
         atexit.register(self._clean)
 
-    def _fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{name}"
@@ -90,12 +95,12 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_quire_path", None)
         if path:
-            fs, p = self._fs(path)
+            fs, p = hadoop_path(self.spark, path)
             fs.delete(p, True)
 
     def _clean(self) -> None:
         try:
-            fs, p = self._fs(self.base)
+            fs, p = hadoop_path(self.spark, self.base)
             fs.delete(p, True)
         except Exception:  # the JVM may be gone already; the folder is then the cluster's to sweep
             pass

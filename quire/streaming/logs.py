@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.session import Stage
+from quire.session import Stage, hadoop_path
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files, whether it is one file or a folder."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    stage = Stage(spark, "probe")
-    fs, p = stage._fs(path)
+    fs, p = hadoop_path(spark, path)
     reader = spark.readStream.schema(schema)
     if fs.isDirectory(p):
         return reader.parquet(path)
@@ -36,7 +35,7 @@ def run(stream: DataFrame, name: str, mode: str) -> DataFrame:
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{stage.base}/progress").trigger(availableNow=True)
     q = q.foreachBatch(put).start() if mode == "complete" else q.format("parquet").start(out)
     q.awaitTermination()
-    fs, p = stage._fs(out)
+    fs, p = hadoop_path(spark, out)
     if not fs.exists(p):
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(out)

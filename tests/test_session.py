@@ -1,6 +1,6 @@
 import pytest
 
-from quire.session import Stage, shared_dir, ship
+from quire.session import Stage, hadoop_path, shared_dir, ship
 
 
 class Fake:
@@ -29,7 +29,7 @@ def test_stage_writes_drops_and_keeps_the_schema(spark):
     a = stage.write(spark.createDataFrame([(1, None), (2, "x")], "id BIGINT, v STRING"), "a")
     empty = stage.write(a.limit(0), "b")
     assert a.count() == 2 and empty.count() == 0 and empty.schema == a.schema
-    fs, p = stage._fs(a._quire_path)
+    fs, p = hadoop_path(spark, a._quire_path)
     assert fs.exists(p)
     stage.drop(a)
     assert not fs.exists(p)
