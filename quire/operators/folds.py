@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators.state import top_k
-from quire.session import ship
+from quire.session import Stage, ship
 
 #: A rule: called with a key for its state; the state's ``send(row)`` gives the output values of a row.
 Rule = Callable[[], Callable[[tuple], tuple]]
@@ -148,13 +148,14 @@ def select_within_budget(df: DataFrame, key: str, order: list[str], tokens: Colu
     first ones at that.  So a group's walk has at most budget * (1 + ln budget) rows besides the
     required ones, which are only summed, whatever the group's length; all other rows are trimmed.
     """
-    t = df.withColumn("__t", F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint")).withColumn("__r", F.coalesce(required, F.lit(False)))
+    columns = list(dict.fromkeys([key, *order]))
+    t = df.select(*columns, F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("bigint").alias("__t"), F.coalesce(required, F.lit(False)).alias("__r"))
+    t = Stage(df.sparkSession, "budget").write(t, "sizes")  # it is read three times, and sizes may be dear to find
     must = t.filter("__r")
     spent = must.groupBy(F.col(key).alias("__k")).agg(F.sum("__t").alias("__spent"))
     rest = t.filter("NOT __r").join(spent, F.col(key).eqNullSafe(F.col("__k")), "left")
     left = F.greatest(F.lit(budget) - F.coalesce("__spent", F.lit(0)), F.lit(0))
     rest = rest.withColumn("__left", left).withColumn("__most", F.floor(F.col("__left") / F.greatest("__t", F.lit(1))))
-    columns = list(dict.fromkeys([key, *order]))
     some = top_k(rest.filter("__most > 0 AND __t > 0").select(*columns, "__t", "__left", "__most"), [key, "__t"], [F.asc(c) for c in order], F.col("__most"))
 
     def walk():
