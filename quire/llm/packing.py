@@ -9,6 +9,9 @@ their rank among the items of their size, in one join, without ever being gather
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import count, islice
+from random import Random
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +22,12 @@ from quire.functions.tokens import estimate_tokens
 from quire.operators.prefix import running_total
 from quire.session import Stage, ship
 
-#: Nodes of the search for a packing without waste, after which a group counts as not packable.
-SEARCH_NODES = 200_000
+#: Steps of the search one container at a time, after which the search by whole patterns decides.
+SEARCH_NODES = 5_000
+#: Sizes among which the search by patterns looks for the one with the fewest fillings, failed states it remembers.
+LOOK, REMEMBERED = 48, 1_000_000
+#: Steps of the first search by patterns; later ones have more, without an end.
+FIRST_STEPS = 200
 
 Pattern = tuple[int, list[tuple[int, int]]]  # containers, [(size, items of it in each)]
 
@@ -97,13 +104,110 @@ def _least_containers(hist: dict[int, int], capacity: int) -> int:
     return best
 
 
+def _scarcest(counts: dict[int, int], capacity: int, rng: Random | None) -> tuple[int, Iterator[list[tuple[int, int]]]]:
+    """A size with few different fillings of its container, and those fillings; none where a size can't be placed."""
+    order = sorted(counts, reverse=True)
+    if len(order) > LOOK:
+        order = order[: LOOK // 2] + order[-LOOK // 2 :]
+    best, most = order[0], 8
+    for s in order:
+        n = sum(1 for _ in islice(_fillings(*_others(counts, s, capacity - s), capacity - s), most))
+        if n < most:
+            best, most = s, n
+        if n == 0:
+            break
+    sizes, rest = _others(counts, best, capacity - best)
+    if rng:
+        sizes.sort(key=lambda s: -s * rng.uniform(0.3, 1))
+    return best, _fillings(sizes, rest, capacity - best)
+
+
+def _by_patterns(hist: dict[int, int], capacity: int) -> list[Pattern] | None:
+    """A packing without waste, or None if there is none.
+
+    The search begins anew with the fillings in another order and a quarter more steps until it comes to its
+    end, so no number of steps decides the answer; states that failed stay known."""
+    failed: set[bytes] = set()
+    steps, rng = FIRST_STEPS, None
+    while True:
+        found, ended = _pattern_search(hist, capacity, steps, failed, rng)
+        if ended:
+            return found
+        steps, rng = steps * 5 // 4, rng or Random(0)
+
+
+def _pattern_search(hist: dict[int, int], capacity: int, steps: int, failed: set[bytes], rng: Random | None) -> tuple[list[Pattern] | None, bool]:
+    """(packing without waste or None, whether the search came to its end within the steps).
+
+    All items of one size must be placed, so the search branches on which of its fillings are used and how
+    often, the size with the fewest fillings first; its steps don't grow with the counts where few fillings
+    are possible.  States that failed are remembered by a digest."""
+    counts, path = dict(hist), []
+
+    def digest() -> bytes:
+        return blake2b(repr(sorted(counts.items())).encode(), digest_size=16).digest()
+
+    def moves(size: int, made: list, more: Iterator, at: int) -> Iterator[tuple[int, list, int]]:
+        """The fillings from place `at` on that fit, each as often as possible first."""
+        for j in count(at):
+            if j == len(made):
+                f = next(more, None)
+                if f is None:
+                    return
+                made.append(_merged(size, f))
+            items = made[j]
+            for times in range(min(counts.get(s, 0) // k for s, k in items), 0, -1):
+                yield times, items, j
+
+    # (moves, size, its fillings so far, further ones, key of the state or None inside a size, pattern that led here)
+    frames: list[tuple] = []
+
+    def enter(led: Pattern | None) -> None:
+        key = digest()
+        least = key not in failed and _least_containers(counts, capacity) * capacity <= sum(s * c for s, c in counts.items())
+        size, more = _scarcest(counts, capacity, rng) if least else (0, iter(()))
+        made: list = []
+        frames.append((moves(size, made, more, 0), size, made, more, key, led))
+
+    enter(None)
+    while frames:
+        if steps == 0:
+            return None, False
+        steps -= 1
+        it, size, made, more, key, led = frames[-1]
+        move = next(it, None)
+        if move is None:
+            if key is not None:
+                if len(failed) >= REMEMBERED:
+                    failed.clear()
+                failed.add(key)
+            frames.pop()
+            if led is not None:
+                path.pop()
+                for s, k in led[1]:
+                    counts[s] = counts.get(s, 0) + k * led[0]
+            continue
+        times, items, j = move
+        for s, k in items:
+            counts[s] -= k * times
+            if not counts[s]:
+                del counts[s]
+        path.append((times, items))
+        if not counts:
+            return path, True
+        if size in counts:
+            frames.append((moves(size, made, more, j + 1), size, made, more, None, (times, items)))
+        else:
+            enter((times, items))
+    return None, True
+
+
 def exact(hist: dict[int, int], capacity: int) -> list[Pattern] | None:
-    """A packing without waste, or None.
+    """A packing without waste, or None if there is none.
 
-    The largest item left must go into some container, so the search branches only on what fills the
-    container of that item; states that failed are remembered.  While far more items are left than a
-    container holds, a filling is repeated as often as the counts allow.
-    """
+    A quick way comes first: while far more items are left than a container holds, a filling of the largest
+    item is repeated as often as the counts allow, and a search one container at a time ends it.  Where that
+    fails, the search by patterns decides from the start."""
     if not hist or sum(s * c for s, c in hist.items()) % capacity or max(hist) > capacity:
         return None
     if _least_containers(hist, capacity) * capacity > sum(s * c for s, c in hist.items()):
@@ -168,14 +272,9 @@ def exact(hist: dict[int, int], capacity: int) -> list[Pattern] | None:
     path: list[Pattern] = []
     if search():
         return done + path
-    if done and seen < SEARCH_NODES:  # the greedy part may be to blame: search the whole
-        counts.clear()
-        counts.update(hist)
-        done, failed = [], set()
-        path.clear()
-        if search():
-            return path
-    return None
+    if not done and seen < SEARCH_NODES:  # the whole was searched
+        return None
+    return _by_patterns(hist, capacity)
 
 
 def tiered(hist: dict[int, int], capacity: int) -> list[Pattern]:

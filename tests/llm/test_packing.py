@@ -77,3 +77,15 @@ def test_frames(spark):
     want = {r[0]: (r[2] or (30 if r[3] else 0)) for r in rows if r[0] is not None}
     assert dict(parts) == {k: v for k, v in want.items() if v}
     assert perfect(df.limit(0)).count() == 0 and containers(df.limit(0)).count() == 0
+
+
+def test_no_step_limit_decides():
+    """Three fillings without waste that the largest-first part starts wrong; their number doesn't matter."""
+    for m in (10, 3000):
+        hist = {600: m, 212: 2 * m, 310: m, 238: 3 * m, 114: m, 455: 2 * m}
+        found, used = exact(hist, 1024), Counter()
+        for times, items in found:
+            assert sum(s * k for s, k in items) == 1024
+            for s, k in items:
+                used[s] += k * times
+        assert used == hist
