@@ -33,6 +33,7 @@ PILE_TEXTS, PILE_TIMES = 5, 20
 _MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|truncated|cut|more)\s*\]|\(\s*(?:…|\.\.\.|truncated|continued|more)\s*\)))+\s*$", re.I)
 _STOP = re.compile(r"[.!?。！？](?:[\"'”’)\]）」』*_]|\s?\[\d+\])*$")
 _ABBREVIATION = re.compile(r"\b(?:Fig|Figs|Eq|Eqs|No|Vol|Ch|Sec|vs|cf|e\.g|i\.e)\.$")
+_GOES_ON = re.compile(r"[,;:，；：、(（\-–—]$")
 _LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])(?:\s+|$)")
 _NARROW = "[^\\W\\d_" + WIDE_CLASS[1:]  # a letter that isn't of a wide script
 _WORD = re.compile(rf"{_NARROW}+(?:['’-]{_NARROW}+)*")
@@ -82,7 +83,7 @@ def ending(text: str) -> tuple[str, str, bool]:
     """(state, kind, marked) of the end of a text that isn't blank.
 
     state: 'cut' where the form alone shows that something is open, 'complete', or 'check' where the
-    last line is of a kind that needs no full stop."""
+    last line is of a kind that needs no full stop or is prose without one."""
     tail, marked = _trimmed(text)
     last = tail.rsplit("\n", 1)[-1].strip()
     if tail.endswith("�"):
@@ -132,7 +133,14 @@ def ending(text: str) -> tuple[str, str, bool]:
     kind = line_kind(tail.rsplit("\n", 1)[-1])
     if kind:
         return "check", kind[0], marked
-    return "cut", "prose", marked
+    return ("cut" if _GOES_ON.search(last) or _ABBREVIATION.search(last) else "check"), "prose", marked
+
+
+def prose_end(line: str) -> str | None:
+    """How a stripped line of prose ends: '.' for any full stop, else its last word; None if it isn't prose."""
+    if line.startswith(("|", "<", "![", "$$", "---", "***", "===", "{", "```")) or line.endswith(("$$", "\\]", "---")) or _GOES_ON.search(line):
+        return None
+    return "." if _STOP.search(line) and not _ABBREVIATION.search(line) else last_word(line)
 
 
 def _read(documents: DataFrame) -> DataFrame:
@@ -163,16 +171,23 @@ def _read(documents: DataFrame) -> DataFrame:
                 tail, _ = _trimmed(text)
                 final = final_word(tail)
                 words.update(_WORD.findall((tail[: final.start()] if final else tail).lower()))
-                parts = tail.split("\n")
+                parts, fenced = tail.split("\n"), False
                 for i, line in enumerate(parts):
                     k = line_kind(line)
+                    if line.lstrip().startswith("```"):
+                        fenced = not fenced
+                    elif k is None and not fenced and kind != "json" and i + 1 < len(parts) and not parts[i + 1].strip() and line.strip():
+                        end = prose_end(line.strip())  # a paragraph inside the text is whole
+                        if end is not None:
+                            ends[source, "prose", end] += 1
                     if k:
                         ends[source, k[0], last_word(k[1])] += 1
                         if i < len(parts) - 1 and len(k[1]) <= TRIE_CHARS:
                             lines[k] += 1
                 k = line_kind(parts[-1]) if state == "check" else None
                 word = final.group().lower() if final and not _WIDE.search(final.group()) else None
-                rows.append(("doc", d, source, kind, k[1] if k else None, word, last_word(k[1]) if k else None, state, marked, len(text), len(text.encode("utf-8", "replace"))))
+                end = last_word(k[1]) if k else last_word(parts[-1]) if kind == "prose" else None
+                rows.append(("doc", d, source, kind, k[1] if k else None, word, end, state, marked, len(text), len(text.encode("utf-8", "replace"))))
             yield batch(rows)
             if len(words) + len(lines) + len(ends) > 300_000:
                 yield counted(words, lines, ends)
@@ -191,7 +206,8 @@ def judged(documents: DataFrame) -> DataFrame:
     line but a proper prefix of known ones), 'end' (its last word never ends such a line), else null.
     at_limit: the length in characters or bytes is one at which texts of this source pile up; it settles
     an unusual line end where the usual ones are too varied to decide, and never overrules a complete
-    end, as texts of just that length can be whole.
+    end, as texts of just that length can be whole.  Prose without a full stop is compared with how the
+    paragraphs inside the texts of its source end; where there are none, its form decides.
 
     A null source is a source like any other; null, empty and blank texts give no rows; repeated rows
     and equal texts are judged one by one.  An empty table gives no rows.
@@ -220,7 +236,7 @@ def judged(documents: DataFrame) -> DataFrame:
     total = ends.groupBy("source", "kind").agg(F.sum("n").alias("total"))
     same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     shares = ends.alias("a").join(total.alias("b"), same("a", "b", "source", "kind")).select(
-        "a.source", "a.kind", "end", "n", ((F.col("n") >= 3) & (F.col("n") >= F.col("total") * USUAL)).alias("usual"), "total"
+        "a.source", "a.kind", "end", "n", (((F.col("n") >= 3) & (F.col("n") >= F.col("total") * USUAL)) | ((F.col("a.kind") == "prose") & (F.col("end") == "."))).alias("usual"), "total"
     )
     cover = shares.groupBy("source", "kind").agg((F.sum(F.when(F.col("usual"), F.col("n")).otherwise(0)) / F.max("total")).alias("cover"))
     usual = shares.filter("usual").select("source", "kind", "end")
@@ -238,9 +254,12 @@ def judged(documents: DataFrame) -> DataFrame:
     d = d.join(cover.alias("v"), same("d", "v", "source", "kind"), "left").join(usual.alias("u"), same("d", "u", "source", "kind", "end"), "left")
     checked = F.col("d.state") == "check"
     odd = checked & F.col("u.kind").isNull() & (F.coalesce("v.cover", F.lit(0.0)) >= CONCENTRATED)
-    vague = checked & F.col("u.kind").isNull() & F.col("at_limit") & (F.col("d.end") == "")
+    prose = F.col("d.kind") == "prose"
+    vague = checked & F.col("at_limit") & (prose | (F.col("u.kind").isNull() & (F.col("d.end") == "")))
+    # prose of a source without any paragraph to compare with is judged by its form
+    alone = checked & prose & F.col("v.cover").isNull()
     reason = (
-        F.when(F.col("d.state") == "cut", "open")
+        F.when((F.col("d.state") == "cut") | alone, "open")
         .when(checked & F.col("w.text").isNotNull(), "word")
         .when(checked & F.col("l.text").isNotNull(), "line")
         .when(odd | vague | (checked & F.col("d.marked")), "end")

@@ -69,3 +69,26 @@ def test_complete_forms_at_a_limit():
     assert ending("x" * 990 + " whole.")[0] == "complete"
     assert ending('{"a": "b",\n "c": "d"\n}')[0] == "complete"
     assert ending('{"a": "b')[0] == "cut"
+
+
+def test_prose_without_a_stop_is_compared_with_its_source(spark):
+    rng, rows, cut = random.Random(3), [], set()
+
+    def phrase():
+        return " ".join(["The", *rng.sample(WORDS, 5)])
+
+    def add(text, is_cut):
+        rows.append((len(rows), "captions", text, "clash"))
+        if is_cut:
+            cut.add(rows[-1][0])
+
+    for _ in range(200):  # paragraphs of this source often have no full stop
+        add("\n\n".join(phrase() + rng.choice(["", "."]) for _ in range(4)), False)
+    for _ in range(10):
+        add(phrase() + ".\n\nThe residual confid", True)  # an unknown proper prefix
+        add(phrase() + ".\n\nThe residual variance,", True)
+    for _ in range(200):
+        add((phrase() + ".\n\n" + " ".join(phrase() for _ in range(20)))[:400].rstrip(".").ljust(400, "x")[:392] + " outlier", True)  # a pile-up
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id for r in found(df).collect()}
+    assert got == cut
