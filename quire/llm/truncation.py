@@ -1,9 +1,12 @@
 """Detection of texts that lost their end, by the vocabulary of the corpus.
 
 One pass of Arrow batches reads each text whole and gives a row per document (how its end looks) and
-each task's counts of words, of short lines and of the last words of lines; the counts are summed, the
-known words and lines are laid out as a trie table (one row per proper prefix), and the ends of the
-documents are looked up in it by equi-joins.  Nothing is collected or broadcast.
+each task's counts: of words and of the pairs of characters of a wide script, each also where it ends a
+sentence, of lines that need no full stop, and of how paragraphs and such lines end.  The counts are
+summed, the known words and lines are laid out as the nodes of a trie that the asked ends can hit, and
+the ends of the documents are looked up in it by equi-joins.  A missing full stop alone is never
+evidence; see ``judged`` for what is.  What is collected is the list of different lengths of the asked
+ends.
 """
 
 from __future__ import annotations
@@ -12,32 +15,50 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.tokens import WIDE_CLASS
 from quire.session import Stage, ship
 
-#: Words and lines above so many characters are not in the trie; longer lines are judged by their last word.
-TRIE_CHARS = 64
+#: A known token that never ends a sentence is a proper prefix of a known word if the words that go on are so many times as frequent.
+DWARFED = 50
+#: A token doesn't end sentences if it does so at most this many times less often than tokens do on the whole, where so many ends are expected.
+RARELY, EXPECTED = 20, 4.0
+#: A sentence of more words (a wide character is half of one) is a long one: too long for a caption or title.
+LONG = 12
+#: A line below this share of the widest line of its text, or any line of a text that is so narrow, ends on purpose.
+SHORT_LINE, NARROW = 0.6, 40
 #: An ending of at least this share of the lines of its source and kind is a usual one ...
 USUAL = 0.005
 #: ... and decides where the usual endings make up this share of the lines.
 CONCENTRATED = 0.97
-#: A length is a pile-up where it has at least so many texts of a source and so many times the mean.
+#: A length is a pile-up where it has at least so many different texts of a source and so many times the mean.
 PILE_TEXTS, PILE_TIMES = 5, 20
 
+#: Kinds of evidence.
+REASONS = ("open", "word", "phrase", "line", "limit", "end", "sentence", "mark")
+
 #: Marks of omission at the end of a text.
-_MARK = re.compile(r"(?:\s*(?:…|\.\.\.|\[\s*(?:…|\.\.\.|truncated|cut|more)\s*\]|\(\s*(?:…|\.\.\.|truncated|continued|more)\s*\)))+\s*$", re.I)
+_MARKS = ("…", "...")
+_BRACKETED = {"]": ("[", {"…", "...", "truncated", "cut", "more"}), ")": ("(", {"…", "...", "truncated", "continued", "more"})}
 _STOP = re.compile(r"[.!?。！？](?:[\"'”’)\]）」』*_]|\s?\[\d+\])*$")
 _ABBREVIATION = re.compile(r"\b(?:Fig|Figs|Eq|Eqs|No|Vol|Ch|Sec|vs|cf|e\.g|i\.e)\.$")
 _GOES_ON = re.compile(r"[,;:，；：、(（\-–—]$")
 _LIST = re.compile(r"\s*(?:[-*+]|\d{1,3}[.)])(?:\s+|$)")
 _NARROW = "[^\\W\\d_" + WIDE_CLASS[1:]  # a letter that isn't of a wide script
 _WORD = re.compile(rf"{_NARROW}+(?:['’-]{_NARROW}+)*")
-_FINAL = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]*)*$")
+_RUN = re.compile(WIDE_CLASS + "+")
+_CLOSING = r"(?:[\"'”’)\]]|\s?\[\d+\])*"
+_ENDED = re.compile(rf"({_NARROW}+(?:['’-]{_NARROW}+)*)(?=[\"'”’)\]]*(?:\s?\[\d+\])*[.!?](?:[\"'”’)\]]|\s|$))")
+_ENDED_WIDE = re.compile(rf"({WIDE_CLASS}{{2}})(?=[\"'”’)\]）」』]*(?:\s?\[\d+\])*[。！？])")
+#: A full stop that another sentence of the same paragraph follows.
+_INNER = re.compile(rf"[。！？][”’」』）]*(?:\s?\[\d+\])*\s*(?=\S)|[.!?]{_CLOSING}\s+(?=[\"“(]*(?:[A-Z]|{WIDE_CLASS}))")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _BULLETS = frozenset("-*+0123456789")
 _URL = re.compile(r"https?://\S*$")
 _IMAGE = re.compile(r"!\[[^\]]*\]\([^()\s]+\)$")
@@ -63,20 +84,58 @@ def last_word(content: str) -> str:
     return parts[-1].lower() if parts else ""
 
 
+def _without_mark(tail: str) -> str | None:
+    """The text before the mark of omission at its end, None if there is none."""
+    for mark in _MARKS:
+        if tail.endswith(mark):
+            return tail[: -len(mark)]
+    opening, words = _BRACKETED.get(tail[-1:], ("", ()))
+    at = tail.rfind(opening) if opening else -1
+    return tail[:at] if at >= 0 and tail[at + 1 : -1].strip().lower() in words else None
+
+
 def _trimmed(text: str) -> tuple[str, bool]:
     """The text without marks of omission and white space at its end, and whether it had such a mark."""
     tail, marked = text.rstrip(), False
-    while True:
-        m = _MARK.search(tail, max(0, len(tail) - 40))  # a mark is short; several go one by one
-        if not m or m.start() == 0:
-            return tail, marked
-        tail, marked = tail[: m.start()].rstrip(), True
+    while (before := _without_mark(tail)) is not None and before.strip():
+        tail, marked = before.rstrip(), True
+    return tail, marked
+
+
+def final_word(tail: str) -> str:
+    """The letters at the end, with apostrophes and hyphens inside; empty if the text ends otherwise."""
+    k = len(tail)
+    while k and (tail[k - 1].isalpha() or (tail[k - 1] in "'’-" and k < len(tail))):
+        k -= 1
+    return tail[k:].lstrip("'’-")
+
+
+def size(sentence: str) -> float:
+    """Words, a wide character being half of one."""
+    return len(_WORD.findall(sentence)) + len(_WIDE.findall(sentence)) / 2
 
 
-def final_word(tail: str) -> re.Match | None:
-    """The word at the end; none if it is longer than what the trie holds."""
-    m = _FINAL.search(tail, max(0, len(tail) - 2 * TRIE_CHARS))
-    return m if m and (m.start() == 0 or len(m.group()) < 2 * TRIE_CHARS) else None
+def shape(paragraph: str) -> str:
+    """'running' where a sentence of it has ended before the last, else 'long' or 'short'."""
+    return "running" if _INNER.search(paragraph) else "long" if size(paragraph) > LONG else "short"
+
+
+def last_shape(tail: str) -> tuple[str, bool]:
+    """(shape, titled) of the paragraph at the end of a text.  A last line after one that ends on purpose
+    is a paragraph of its own, as in verse or a name under a letter; titled: all longer words have capitals."""
+    cut = 0
+    for m in _PARAGRAPH.finditer(tail):
+        cut = m.end()
+    last = tail[cut:]
+    lines = last.split("\n")
+    if len(lines) > 1:
+        before, own = lines[-2].strip(), lines[-1].strip()
+        widest = max(map(len, tail.split("\n")))
+        narrow = widest < NARROW or len(before) < SHORT_LINE * widest
+        if narrow and own[:1].isupper() and size(own) <= LONG:
+            last = own
+    words = [w for w in _WORD.findall(last) if len(w) > 3]
+    return shape(last), all(w[0].isupper() for w in words)
 
 
 def ending(text: str) -> tuple[str, str, bool]:
@@ -143,25 +202,34 @@ def prose_end(line: str) -> str | None:
     return "." if _STOP.search(line) and not _ABBREVIATION.search(line) else last_word(line)
 
 
+_SCHEMA = (
+    "what STRING, doc_id BIGINT, source STRING, kind STRING, text STRING, n BIGINT, e BIGINT, word STRING, pair STRING, end STRING, state STRING, "
+    "marked BOOLEAN, bytes BIGINT, same BIGINT, shape STRING, lower BOOLEAN, titled BOOLEAN"
+)
+_ARROW = {"STRING": pa.string(), "BIGINT": pa.int64(), "BOOLEAN": pa.bool_()}
+
+
 def _read(documents: DataFrame) -> DataFrame:
     ship(documents.sparkSession)
-
-    kinds = pa.schema([("what", pa.string()), ("doc_id", pa.int64()), ("source", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("word", pa.string()), ("end", pa.string()), ("state", pa.string()), ("marked", pa.bool_()), ("n", pa.int64()), ("bytes", pa.int64())])
+    kinds = pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in _SCHEMA.split(", "))])
+    pad = (None,) * (len(kinds) - 7)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows) if rows else [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
-    def counted(words: Counter, lines: Counter, ends: Counter) -> pa.RecordBatch:
-        rows = [("word", None, None, "word", w, None, None, None, None, n, None) for w, n in words.items() if len(w) <= TRIE_CHARS]
-        rows += [("line", None, None, k, x, None, None, None, None, n, None) for (k, x), n in lines.items()]
-        rows += [("end", None, s, k, x, None, None, None, None, n, None) for (s, k, x), n in ends.items()]
-        for c in (words, lines, ends):
-            c.clear()
-        return batch(rows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, lines, ends = Counter(), Counter(), Counter()
+        words, pairs, last_words, last_pairs, lines, ends = (Counter() for _ in range(6))
+
+        def counted() -> pa.RecordBatch:
+            rows = [("word", None, None, "word", w, n, last_words.get(w, 0), *pad) for w, n in words.items()]
+            rows += [("word", None, None, "pair", w, n, last_pairs.get(w, 0), *pad) for w, n in pairs.items()]
+            rows += [("line", None, None, k, x, n, None, *pad) for (k, x), n in lines.items()]
+            rows += [("end", None, s, k, x, n, None, *pad) for (s, k, x), n in ends.items()]
+            for c in (words, pairs, last_words, last_pairs, lines, ends):
+                c.clear()
+            return batch(rows)
+
         for b in batches:
             rows = []
             for d, source, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -169,100 +237,150 @@ def _read(documents: DataFrame) -> DataFrame:
                     continue
                 state, kind, marked = ending(text)
                 tail, _ = _trimmed(text)
+                raw = text.encode("utf-8", "replace")
                 final = final_word(tail)
-                words.update(_WORD.findall((tail[: final.start()] if final else tail).lower()))
-                parts, fenced = tail.split("\n"), False
+                inside = tail[: len(tail) - len(final)].replace("-\n", "")  # a word broken at a line end is one word
+                low = inside.lower()
+                words.update(_WORD.findall(low))
+                last_words.update(_ENDED.findall(low))
+                for r in _RUN.findall(inside):
+                    pairs.update(map(add, r, r[1:]))
+                last_pairs.update(_ENDED_WIDE.findall(inside))
+                parts, fenced, opened = tail.split("\n"), False, 0
                 for i, line in enumerate(parts):
                     k = line_kind(line)
+                    ends_here = i + 1 < len(parts) and not parts[i + 1].strip()
                     if line.lstrip().startswith("```"):
                         fenced = not fenced
-                    elif k is None and not fenced and kind != "json" and i + 1 < len(parts) and not parts[i + 1].strip() and line.strip():
+                    elif k is None and not fenced and kind != "json" and ends_here and line.strip():
                         end = prose_end(line.strip())  # a paragraph inside the text is whole
                         if end is not None:
-                            ends[source, "prose", end] += 1
+                            ends[source, shape("\n".join(parts[opened : i + 1])), "." if end == "." else ""] += 1
                     if k:
                         ends[source, k[0], last_word(k[1])] += 1
-                        if i < len(parts) - 1 and len(k[1]) <= TRIE_CHARS:
+                        if i < len(parts) - 1:
                             lines[k] += 1
+                    if ends_here or k:
+                        opened = i + 1
                 k = line_kind(parts[-1]) if state == "check" else None
-                word = final.group().lower() if final and not _WIDE.search(final.group()) else None
-                end = last_word(k[1]) if k else last_word(parts[-1]) if kind == "prose" else None
-                rows.append(("doc", d, source, kind, k[1] if k else None, word, end, state, marked, len(text), len(text.encode("utf-8", "replace"))))
+                wide = bool(_WIDE.search(tail[-1:]))
+                word = final.lower() if final and not _WIDE.search(final) else None
+                pair = tail[-2:] if wide and _WIDE.match(tail[-2:]) else None
+                form, titled = last_shape(tail) if state == "check" and kind == "prose" else (None, None)
+                rows.append(("doc", d, source, kind, k[1] if k else None, len(text), None, word, pair, last_word(k[1]) if k else None, state, marked, len(raw), xxhash.xxh64_intdigest(raw) - (1 << 63), form, final[:1].islower(), titled))
             yield batch(rows)
-            if len(words) + len(lines) + len(ends) > 300_000:
-                yield counted(words, lines, ends)
-        yield counted(words, lines, ends)
+            if len(words) + len(pairs) + len(lines) + len(ends) > 300_000:
+                yield counted()
+        yield counted()
+
+    return documents.select("doc_id", "source", "text").mapInArrow(run, _SCHEMA)
+
+
+def _same(a: str, b: str, *keys: str) -> list[Column]:
+    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+
 
-    return documents.select("doc_id", "source", "text").mapInArrow(
-        run, "what STRING, doc_id BIGINT, source STRING, kind STRING, text STRING, word STRING, end STRING, state STRING, marked BOOLEAN, n BIGINT, bytes BIGINT"
+def _known(stage: Stage, raw: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kind, text, is_prefix, ends_nothing) of the final tokens asked for, and (kind, text) of the last
+    lines that are no known line but a proper prefix of lines known from two places.
+
+    The nodes of the trie that can be hit are those at the lengths of the asked ends, so each known word
+    or line is laid out at those only; a node is named by its length and two hashes."""
+    entries = stage.write(raw.filter("what IN ('word', 'line')").groupBy("kind", "text").agg(F.sum("n").alias("n"), F.sum("e").alias("e")), "entries")
+    checked = docs.filter("state = 'check'")
+    asked = stage.write(
+        checked.select(F.explode(F.array(
+            F.struct(F.lit("word").alias("kind"), F.col("word").alias("text")), F.struct(F.lit("pair").alias("kind"), F.col("pair").alias("text")), F.struct(F.col("kind").alias("kind"), F.col("line").alias("text")),
+        )).alias("x")).select("x.*").filter("length(text) > 0").distinct(), "asked",
+    )
+    lengths = [r.n for r in asked.filter("kind <> 'pair'").select(F.length("text").alias("n")).distinct().collect()]
+    node = lambda c: F.struct(F.length(c).alias("l"), F.xxhash64(c).alias("h"), F.hash(c).alias("g"))
+    at = F.filter(F.array(*[F.lit(n) for n in sorted(lengths)]) if lengths else F.array().cast("array<int>"), lambda n: n < F.length("text"))
+    trie = (
+        entries.filter("kind <> 'pair'").select("kind", "n", F.explode(F.transform(at, lambda n: node(F.substring("text", F.lit(1), n)))).alias("node"))
+        .groupBy("kind", "node.l", "node.h", "node.g").agg(F.sum("n").alias("mass"), F.max("n").alias("most"))
+    ).alias("t")
+    a = asked.withColumn("node", node(F.col("text"))).alias("a")
+    known = (
+        a.join(entries.alias("k"), (F.col("a.kind") == F.col("k.kind")) & (F.col("a.text") == F.col("k.text")), "left")
+        .join(trie, (F.col("a.kind") == F.col("t.kind")) & (F.col("a.node.l") == F.col("t.l")) & (F.col("a.node.h") == F.col("t.h")) & (F.col("a.node.g") == F.col("t.g")), "left")
+        .select("a.kind", "a.text", F.col("k.n"), F.coalesce("k.e", F.lit(0)).alias("e"), F.coalesce("mass", F.lit(0)).alias("mass"), F.coalesce("most", F.lit(0)).alias("most"))
     )
+    # one row for either script: how often a token ends a sentence
+    rate = entries.filter("kind IN ('word', 'pair')").groupBy(F.col("kind").alias("r_kind")).agg((F.sum("e") / F.sum("n")).alias("rate"))
+    tokens = known.join(F.broadcast(rate), F.col("kind") == F.col("r_kind")).select(
+        "kind", "text",
+        ((F.col("mass") >= 2) & (F.col("kind") == "word") & (F.col("n").isNull() | ((F.col("e") == 0) & (F.col("n") * DWARFED <= F.col("mass"))))).alias("is_prefix"),
+        ((F.col("n") * F.col("rate") >= EXPECTED) & (F.col("e") * RARELY <= F.col("n") * F.col("rate"))).alias("ends_nothing"),
+    ).filter("is_prefix OR ends_nothing")
+    lines = known.filter("kind NOT IN ('word', 'pair') AND n IS NULL AND most >= 2").select("kind", "text")
+    return tokens, lines
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, n_chars, kind, marked, at_limit, is_cut, reason) of each text that isn't blank.
 
-    reason: 'open' (a word, sentence, row, block, formula or JSON value is open by its form), 'word' (the
-    final token is no known word but a proper prefix of known ones), 'line' (the last line is no known
-    line but a proper prefix of known ones), 'end' (its last word never ends such a line), else null.
-    at_limit: the length in characters or bytes is one at which texts of this source pile up; it settles
-    an unusual line end where the usual ones are too varied to decide, and never overrules a complete
-    end, as texts of just that length can be whole.  Prose without a full stop is compared with how the
-    paragraphs inside the texts of its source end; where there are none, its form decides.
+    reason, the first that holds: 'open' (a row, block, formula, tag or JSON value is open by its form, or
+    a sentence by a comma, colon or abbreviation at its end), 'word' (the final token is no known word, or one
+    that never ends a sentence and is rare beside the words it begins, and a proper prefix of known ones),
+    'phrase' (the final token, in small letters or a wide script, is known and common, but sentences don't
+    end with it), 'line' (the last line is no known line but a proper prefix of known ones), 'limit' (the
+    length in characters or bytes is one at which texts of the source pile up), 'end' (the last word never
+    ends a line of its kind in a source whose lines nearly all end in few ways), 'sentence' (an earlier
+    sentence of the last paragraph has its full stop, or the last one is too long for a caption, and the
+    paragraphs of that shape inside the texts of the source nearly all end with one, as they do on the whole where it has none), 'mark' (a
+    mark of omission follows); else null.
+
+    All but 'open' hold only for ends without a full stop.  Such an end alone is no evidence: a caption,
+    title, verse, name or date that ends with a word that can end a sentence stays unflagged; a word with a
+    capital in a short titled paragraph isn't judged as a prefix, as it may be a name.
+    at_limit never overrules a complete end, as texts of just that length can be whole.
 
     A null source is a source like any other; null, empty and blank texts give no rows; repeated rows
     and equal texts are judged one by one.  An empty table gives no rows.
     """
     stage = Stage(documents.sparkSession, "truncation")
     raw = stage.write(_read(documents), "read")
-    docs = raw.filter("what = 'doc'").select("doc_id", "source", "kind", F.col("text").alias("line"), "word", "end", "state", "marked", F.col("n").alias("n_chars"), "bytes")
-    entries = raw.filter("what IN ('word', 'line')").groupBy("kind", "text").agg(F.sum("n").alias("n"))
-    entries = stage.write(entries, "entries")
-    trie = (
-        entries.filter("n >= 2 AND length(text) > 1")
-        .select("kind", F.explode(F.expr("transform(sequence(1, length(text) - 1), i -> substring(text, 1, i))")).alias("prefix"))
-        .distinct()
-    )
-    # the ends that need a look-up, each once
-    asked = docs.filter("state = 'check'").select(F.explode(F.array(
-        F.struct(F.lit("word").alias("kind"), F.col("word").alias("text")), F.struct(F.col("kind").alias("kind"), F.col("line").alias("text")))).alias("x")
-    ).select("x.*").filter("text IS NOT NULL").distinct()
-    asked = (
-        asked.join(entries.select(F.col("kind").alias("e_kind"), F.col("text").alias("e_text")), (F.col("kind") == F.col("e_kind")) & (F.col("text") == F.col("e_text")), "left")
-        .join(trie.withColumnRenamed("kind", "t_kind"), (F.col("kind") == F.col("t_kind")) & (F.col("text") == F.col("prefix")), "left")
-        .select("kind", "text", (F.col("e_text").isNull() & F.col("prefix").isNotNull()).alias("is_prefix"))
-        .filter("is_prefix")
-    )
+    docs = raw.filter("what = 'doc'").select("doc_id", "source", "kind", F.col("text").alias("line"), "word", "pair", "end", "state", "marked", F.col("n").alias("n_chars"), "bytes", "same", "shape", "lower", "titled")
+    tokens, lines = _known(stage, raw, docs)
     ends = raw.filter("what = 'end'").groupBy("source", "kind", F.col("text").alias("end")).agg(F.sum("n").alias("n"))
-    total = ends.groupBy("source", "kind").agg(F.sum("n").alias("total"))
-    same = lambda a, b, *keys: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    shares = ends.alias("a").join(total.alias("b"), same("a", "b", "source", "kind")).select(
-        "a.source", "a.kind", "end", "n", (((F.col("n") >= 3) & (F.col("n") >= F.col("total") * USUAL)) | ((F.col("a.kind") == "prose") & (F.col("end") == "."))).alias("usual"), "total"
+    prose = F.col("kind").isin("running", "long", "short")
+    total = ends.filter(~prose).groupBy("source", "kind").agg(F.sum("n").alias("total"))
+    shares = ends.filter(~prose).alias("a").join(total.alias("b"), _same("a", "b", "source", "kind")).select(
+        "a.source", "a.kind", "end", "n", ((F.col("n") >= 3) & (F.col("n") >= F.col("total") * USUAL)).alias("usual"), "total"
     )
     cover = shares.groupBy("source", "kind").agg((F.sum(F.when(F.col("usual"), F.col("n")).otherwise(0)) / F.max("total")).alias("cover"))
     usual = shares.filter("usual").select("source", "kind", "end")
-    lengths = docs.select("source", F.explode(F.array(F.struct(F.lit("n_chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
+    with_stop = F.sum(F.when(F.col("end") == ".", F.col("n")).otherwise(0))
+    shapes = ends.filter(prose).groupBy("source", F.col("kind").alias("shape")).agg((with_stop / F.sum("n")).alias("stopped"))
+    overall = ends.filter(prose).groupBy(F.col("kind").alias("o_shape")).agg((with_stop / F.sum("n")).alias("o_stopped"))
+    # copies of a text have its length by nature, so they count once
+    lengths = docs.select("source", "n_chars", "bytes", "same").distinct().select("source", F.explode(F.array(F.struct(F.lit("n_chars").alias("unit"), F.col("n_chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x")).groupBy("source", "x.unit", "x.length").agg(F.count(F.lit(1)).alias("n"))
     mean = lengths.groupBy("source", "unit").agg(F.avg("n").alias("mean"))
-    piles = lengths.alias("a").join(mean.alias("b"), same("a", "b", "source", "unit")).filter((F.col("n") >= PILE_TEXTS) & (F.col("n") >= PILE_TIMES * F.col("mean"))).select("a.source", "a.unit", "length")
+    piles = lengths.alias("a").join(mean.alias("b"), _same("a", "b", "source", "unit")).filter((F.col("n") >= PILE_TEXTS) & (F.col("n") >= PILE_TIMES * F.col("mean"))).select("a.source", "a.unit", "length")
     chars = piles.filter("unit = 'n_chars'").select("source", F.col("length").alias("n_chars"))
     octets = piles.filter("unit = 'bytes'").select("source", F.col("length").alias("bytes"))
 
     d = docs.alias("d")
-    d = d.join(chars.alias("c"), same("d", "c", "source", "n_chars"), "left").join(octets.alias("o"), same("d", "o", "source", "bytes"), "left")
+    d = d.join(chars.alias("c"), _same("d", "c", "source", "n_chars"), "left").join(octets.alias("o"), _same("d", "o", "source", "bytes"), "left")
     d = d.select("d.*", (F.col("c.n_chars").isNotNull() | F.col("o.bytes").isNotNull()).alias("at_limit")).alias("d")
-    d = d.join(asked.alias("w"), (F.col("w.kind") == "word") & (F.col("d.state") == "check") & (F.col("d.word") == F.col("w.text")), "left")
-    d = d.join(asked.alias("l"), (F.col("d.state") == "check") & (F.col("d.kind") == F.col("l.kind")) & (F.col("d.line") == F.col("l.text")), "left")
-    d = d.join(cover.alias("v"), same("d", "v", "source", "kind"), "left").join(usual.alias("u"), same("d", "u", "source", "kind", "end"), "left")
     checked = F.col("d.state") == "check"
-    odd = checked & F.col("u.kind").isNull() & (F.coalesce("v.cover", F.lit(0.0)) >= CONCENTRATED)
+    d = d.join(tokens.alias("w"), checked & (F.col("w.kind") == F.when(F.col("d.word").isNotNull(), "word").otherwise("pair")) & (F.coalesce("d.word", "d.pair") == F.col("w.text")), "left")
+    d = d.join(lines.alias("l"), checked & (F.col("d.kind") == F.col("l.kind")) & (F.col("d.line") == F.col("l.text")), "left")
+    d = d.join(cover.alias("v"), _same("d", "v", "source", "kind"), "left").join(usual.alias("u"), _same("d", "u", "source", "kind", "end"), "left")
+    d = d.join(shapes.alias("s"), _same("d", "s", "source", "shape"), "left").join(F.broadcast(overall), F.col("d.shape") == F.col("o_shape"), "left")  # three rows
     prose = F.col("d.kind") == "prose"
-    vague = checked & F.col("at_limit") & (prose | (F.col("u.kind").isNull() & (F.col("d.end") == "")))
-    # prose of a source without any paragraph to compare with is judged by its form
-    alone = checked & prose & F.col("v.cover").isNull()
+    name = F.coalesce("d.titled", F.lit(False)) & (F.col("d.shape") == "short") & ~F.col("d.lower")
+    stopped = F.coalesce("s.stopped", "o_stopped", F.lit(1.0)) >= CONCENTRATED
     reason = (
-        F.when((F.col("d.state") == "cut") | alone, "open")
-        .when(checked & F.col("w.text").isNotNull(), "word")
+        F.when(F.col("d.state") == "cut", "open")
+        .when(checked & F.col("w.is_prefix") & ~(prose & name & ~F.col("at_limit")), "word")
+        .when(checked & prose & F.col("w.ends_nothing") & (F.col("d.lower") | F.col("d.pair").isNotNull()), "phrase")
         .when(checked & F.col("l.text").isNotNull(), "line")
-        .when(odd | vague | (checked & F.col("d.marked")), "end")
+        .when(checked & F.col("at_limit") & (prose | (F.col("u.kind").isNull() & (F.col("d.end") == ""))), "limit")
+        .when(checked & ~prose & F.col("u.kind").isNull() & (F.coalesce("v.cover", F.lit(0.0)) >= CONCENTRATED), "end")
+        .when(checked & prose & F.col("d.shape").isin("running", "long") & stopped, "sentence")
+        .when(checked & F.col("d.marked"), "mark")
     )
     return d.select("d.doc_id", "d.source", "d.n_chars", "d.kind", "d.marked", "at_limit", reason.isNotNull().alias("is_cut"), reason.alias("reason"))
 
@@ -273,8 +391,10 @@ def found(documents: DataFrame) -> DataFrame:
 
 
 def by_source(documents: DataFrame) -> DataFrame:
-    """(source, texts, cut, cut_share, at_limit): how often each source truncates; blank texts don't count."""
+    """(source, texts, cut, cut_share, at_limit, by_open, by_word, ...): how often each source truncates and on
+    which evidence; blank texts don't count."""
     return judged(documents).groupBy("source").agg(
         F.count(F.lit(1)).alias("texts"), F.sum(F.col("is_cut").cast("bigint")).alias("cut"),
         F.avg(F.col("is_cut").cast("double")).alias("cut_share"), F.sum(F.col("at_limit").cast("bigint")).alias("at_limit"),
+        *[F.count_if(F.col("reason") == r).alias(f"by_{r}") for r in REASONS],
     )
