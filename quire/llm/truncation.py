@@ -306,6 +306,7 @@ def _known(stage: Stage, raw: DataFrame, docs: DataFrame) -> tuple[DataFrame, Da
         .join(trie, (F.col("a.kind") == F.col("t.kind")) & (F.col("a.node.l") == F.col("t.l")) & (F.col("a.node.h") == F.col("t.h")) & (F.col("a.node.g") == F.col("t.g")), "left")
         .select("a.kind", "a.text", F.col("k.n"), F.coalesce("k.e", F.lit(0)).alias("e"), F.coalesce("mass", F.lit(0)).alias("mass"), F.coalesce("most", F.lit(0)).alias("most"))
     )
+    known = stage.write(known, "known")
     # one row for either script: how often a token ends a sentence
     rate = entries.filter("kind IN ('word', 'pair')").groupBy(F.col("kind").alias("r_kind")).agg((F.sum("e") / F.sum("n")).alias("rate"))
     tokens = known.join(F.broadcast(rate), F.col("kind") == F.col("r_kind")).select(
