@@ -54,7 +54,8 @@ _NARROW = "[^\\W\\d_" + WIDE_CLASS[1:]  # a letter that isn't of a wide script
 _WORD = re.compile(rf"{_NARROW}+(?:['’-]{_NARROW}+)*")
 _RUN = re.compile(WIDE_CLASS + "+")
 _CLOSING = r"(?:[\"'”’)\]]|\s?\[\d+\])*"
-_ENDED = re.compile(rf"({_NARROW}+(?:['’-]{_NARROW}+)*)(?=[\"'”’)\]]*(?:\s?\[\d+\])*[.!?](?:[\"'”’)\]]|\s|$))")
+_FULL_STOP = re.compile(r"[.!?](?=[\"'”’)\]\s]|$)")
+_CITED = re.compile(r"(?:\s?\[\d+\])+$")
 _ENDED_WIDE = re.compile(rf"({WIDE_CLASS}{{2}})(?=[\"'”’)\]）」』]*(?:\s?\[\d+\])*[。！？])")
 #: A full stop that another sentence of the same paragraph follows.
 _INNER = re.compile(rf"[。！？][”’」』）]*(?:\s?\[\d+\])*\s*(?=\S)|[.!?]{_CLOSING}\s+(?=[\"“(]*(?:[A-Z]|{WIDE_CLASS}))")
@@ -79,6 +80,19 @@ def line_kind(line: str) -> tuple[str, str] | None:
     return None
 
 
+def ended_words(low: str) -> Iterator[str]:
+    """The words that stand before a full stop, citations and closing marks aside."""
+    pieces = _FULL_STOP.split(low)
+    for piece in pieces[:-1]:
+        if piece.endswith("]"):
+            piece = _CITED.sub("", piece)
+        word = piece[piece.rfind(" ") + 1 :].rstrip("\"'”’)")
+        if not word.isalpha():
+            word = final_word(word)
+        if word and not _WIDE.search(word):
+            yield word
+
+
 def last_word(content: str) -> str:
     parts = content.split()
     return parts[-1].lower() if parts else ""
@@ -242,7 +256,7 @@ def _read(documents: DataFrame) -> DataFrame:
                 inside = tail[: len(tail) - len(final)].replace("-\n", "")  # a word broken at a line end is one word
                 low = inside.lower()
                 words.update(_WORD.findall(low))
-                last_words.update(_ENDED.findall(low))
+                last_words.update(ended_words(low))
                 for r in _RUN.findall(inside):
                     pairs.update(map(add, r, r[1:]))
                 last_pairs.update(_ENDED_WIDE.findall(inside))
