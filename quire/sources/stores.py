@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators.state import latest
+from quire.session import Stage, hadoop_path
 
 USAGE = "prompt_tokens BIGINT, cache_hit_tokens BIGINT, cache_miss_tokens BIGINT, completion_tokens BIGINT, requests BIGINT, failures BIGINT"
 
@@ -39,8 +41,23 @@ def count_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_log(df: DataFrame, path: str, order: str) -> None:
-    """Append rows to a log with a number that is unique and rises within each task's share."""
-    df.sortWithinPartitions(order).withColumn("sequence", F.monotonically_increasing_id()).write.mode("append").json(path)
+    """Append rows to a log, numbered by ``sequence`` from the log's last number on, without gaps, in the order of ``order``.
+
+    Rows with equal order values come in any order; an empty table appends nothing.  One writer at a time."""
+    spark = df.sparkSession
+    stage = Stage(spark, "append")
+    place = F.monotonically_increasing_id()
+    rows = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__task", F.shiftright(place, 33)).withColumn("__at", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = stage.write(rows, "rows")
+    fs, p = hadoop_path(spark, path)
+    last = spark.read.schema("sequence BIGINT").json(path).agg(F.max("sequence")).first()[0] if fs.exists(p) else None
+    # one row for each task
+    counts = rows.groupBy(F.col("__task").alias("__t")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__t").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__t", F.coalesce(before, F.lit(0)).alias("__before"))
+    sequence = F.col("__at") + F.col("__before") + F.lit((last or 0) + 1)
+    out = rows.join(F.broadcast(counts), F.col("__task") == F.col("__t")).select(*df.columns, sequence.alias("sequence"))
+    out.write.mode("append").json(path)
 
 
 def write_new(df: DataFrame, path: str) -> None:
@@ -49,8 +66,29 @@ def write_new(df: DataFrame, path: str) -> None:
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Replace a table whole: the new files come in by the commit at the end, so a failed run leaves no half."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table whole.  The new one is written beside the old and takes its name when it is complete,
+    so a failed job leaves the old as it was; ``df`` may read from ``path`` itself."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    fs, target = hadoop_path(spark, path)
+    _, new = hadoop_path(spark, f"{path.rstrip('/')}.new-{mark}")
+    _, old = hadoop_path(spark, f"{path.rstrip('/')}.old-{mark}")
+    try:
+        df.write.parquet(new.toString())
+    except Exception:
+        fs.delete(new, True)
+        raise
+    had = fs.exists(target)
+    if had and not fs.rename(target, old):
+        fs.delete(new, True)
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, target):
+        if had:
+            fs.rename(old, target)
+        fs.delete(new, True)
+        raise OSError(f"can't put the new table at {path}")
+    if had:
+        fs.delete(old, True)
 
 
 def store_cache(new: DataFrame, cache: DataFrame | None) -> DataFrame:

@@ -1,7 +1,7 @@
 """Streams over append-only logs: event-time windows and removal of repeats.
 
 The reference only appends to its logs; windows and watermarks are additions.  A stream reads what is
-there, ends, and leaves its progress in the shared folder, so that it can go on from there.
+there and ends; with a folder of its own it leaves its progress there, and the next run goes on from it.
 """
 
 from __future__ import annotations
@@ -23,22 +23,33 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """The result of a stream over all that is there; mode 'append' writes new rows, 'complete' the last state."""
+def run(stream: DataFrame, name: str, mode: str, folder: str | None = None) -> DataFrame:
+    """The result of a stream over all that is there; mode 'append' writes new rows, 'complete' the last state.
+
+    ``folder`` keeps progress and results: a later run of the same stream reads only what came since, and
+    gives all results.  A run that was broken off is taken up where it stopped, each row once.  Without
+    it the run stands alone and its tables go when the process ends."""
     spark = stream.sparkSession
-    stage = Stage(spark, f"stream-{name}")
-    out = f"{stage.base}/out"
+    base = folder.rstrip("/") if folder else Stage(spark, f"stream-{name}").base
+    out = f"{base}/{name}-out"
+
+    fs, p = hadoop_path(spark, out)
 
-    def put(batch: DataFrame, _: int) -> None:  # a batch that is run again writes the same rows to the same place
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def done() -> list[int]:
+        return sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if "=" in x.getPath().getName())
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{stage.base}/progress").trigger(availableNow=True)
-    q = q.foreachBatch(put).start() if mode == "complete" else q.format("parquet").start(out)
+    def put(batch: DataFrame, n: int) -> None:  # each batch has a folder, so a batch that is run again replaces itself
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+        for old in done() if mode == "complete" else ():  # the last state holds all; the one before stays until the next
+            if old < n - 1:
+                fs.delete(hadoop_path(spark, f"{out}/batch={old}")[1], True)
+
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/{name}-progress").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    fs, p = hadoop_path(spark, out)
     if not fs.exists(p):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(out)
+    last = f"{out}/batch={done()[-1]}" if mode == "complete" else out
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(last)
 
 
 def unique(stream: DataFrame, key: str, at: str, late: str = "30 days") -> DataFrame:
