@@ -29,12 +29,23 @@ LOOK, REMEMBERED = 48, 1_000_000
 #: Steps of the first search by patterns; later ones have more, without an end.
 FIRST_STEPS = 200
 
+#: Context sizes of the tiers, as shares of the first, which stands for the capacity.
+WINDOWS = (8, 4, 2, 1)
+
 Pattern = tuple[int, list[tuple[int, int]]]  # containers, [(size, items of it in each)]
 
 
-def tier_of(size: int, capacity: int) -> int:
-    """1 for above half of the capacity, 2 for above a quarter, and so on; 4 holds all that is shorter."""
-    return 1 if 2 * size > capacity else 2 if 4 * size > capacity else 3 if 8 * size > capacity else 4
+def tier_of(size: int, capacity: int, windows: tuple[int, ...] = WINDOWS) -> int:
+    """The tier of an item: 1 for what only the whole capacity holds, then one for each shorter window."""
+    return max(k for k, w in enumerate(windows, 1) if size * windows[0] <= w * capacity)
+
+
+def route(hist: dict[int, int], capacity: int, windows: tuple[int, ...] = WINDOWS) -> list[dict[int, int]]:
+    """The histogram of each tier: an item goes to the shortest window that holds it."""
+    tiers: list[dict[int, int]] = [{} for _ in windows]
+    for size, n in hist.items():
+        tiers[tier_of(size, capacity, windows) - 1][size] = n
+    return tiers
 
 
 def _sums(sizes: list[int], counts: dict[int, int], gap: int) -> list[int]:
@@ -68,15 +79,6 @@ def _fillings(sizes: list[int], counts: dict[int, int], gap: int) -> Iterator[li
                 stack.append((i + 1, left - s * k, chosen + ((s, k),) if k else chosen))
 
 
-def _take(counts: dict[int, int], items: list[tuple[int, int]]) -> Pattern:
-    times = min(counts[s] // k for s, k in items)
-    for s, k in items:
-        counts[s] -= k * times
-        if not counts[s]:
-            del counts[s]
-    return times, items
-
-
 def _merged(size: int, filling: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out = {size: 1}
     for s, k in filling:
@@ -277,16 +279,28 @@ def exact(hist: dict[int, int], capacity: int) -> list[Pattern] | None:
     return _by_patterns(hist, capacity)
 
 
-def tiered(hist: dict[int, int], capacity: int) -> list[Pattern]:
-    """A packing with little waste: tier by tier from the longest items, each container is opened by the
-    longest item left and its gap filled as far as the sums of shorter items allow."""
-    counts, out = dict(hist), []
-    while counts:
-        size = max(counts)
-        sizes, rest = _others(counts, size, capacity - size)
-        best = _sums(sizes, rest, capacity - size)[0].bit_length() - 1
-        f = next(_fillings(sizes, rest, best), [])
-        out.append(_take(counts, _merged(size, f)))
+def tiered(hist: dict[int, int], capacity: int, windows: tuple[int, ...] = WINDOWS) -> list[Pattern]:
+    """A packing with little waste, tier by tier from the longest: the items of a tier open containers, and
+    the gap of each is filled from its own tier and then from the shorter ones, as far as their sums allow."""
+    tiers, out = route(hist, capacity, windows), []
+    for k, own in enumerate(tiers):
+        while own:
+            size = max(own)
+            gap = capacity - size
+            own[size] -= 1
+            pools = [(s, tier) for tier in tiers[k:] for s in sorted(tier, reverse=True) if tier[s] and s <= gap]
+            own[size] += 1
+            counts = {s: tier[s] - (s == size) for s, tier in pools}
+            sizes = [s for s, _ in pools]
+            best = _sums(sizes, counts, gap)[0].bit_length() - 1
+            items = _merged(size, next(_fillings(sizes, counts, best), []))
+            of = {s: tier for s, tier in pools} | {size: own}
+            times = min(of[s][s] // n for s, n in items)  # the same filling for as long as the items last
+            for s, n in items:
+                of[s][s] -= n * times
+                if not of[s][s]:
+                    del of[s][s]
+            out.append((times, items))
     return out
 
 
@@ -317,12 +331,13 @@ def _plans(sizes: DataFrame, capacity: int) -> DataFrame:
         .withColumn("rest", rest)
         .groupBy("document_id", "rest")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("full").alias("full"))
+        .repartition(4 * sizes.sparkSession.sparkContext.defaultParallelism, "document_id")  # little data, much work: AQE would put it into few tasks
         .groupBy("document_id")
         .agg(F.collect_list(F.struct("rest", "n")).alias("bars"), F.sum("full").alias("full"))
     )
     ship(sizes.sparkSession)
     schema = T.StructType.fromDDL(
-        "document_id BIGINT, full BIGINT, perfect BOOLEAN, patterns ARRAY<STRUCT<first: BIGINT, times: BIGINT, tokens: INT, items: ARRAY<STRUCT<size: INT, k: INT>>>>"
+        "document_id BIGINT, full BIGINT, perfect BOOLEAN, patterns ARRAY<STRUCT<first: BIGINT, times: BIGINT, tokens: INT, tier: INT, items: ARRAY<STRUCT<size: INT, k: INT>>>>"
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -333,7 +348,7 @@ def _plans(sizes: DataFrame, capacity: int) -> DataFrame:
                 found, perfect = pack(hist, capacity)
                 first, out = int(full) + 1, []
                 for times, items in found:
-                    out.append({"first": first, "times": times, "tokens": sum(s * k for s, k in items), "items": [{"size": s, "k": k} for s, k in items]})
+                    out.append({"first": first, "times": times, "tokens": sum(s * k for s, k in items), "tier": tier_of(max(s for s, _ in items), capacity), "items": [{"size": s, "k": k} for s, k in items]})
                     first += times
                 rows.append((d, int(full), perfect, out))
             yield pd.DataFrame({"document_id": pd.array([r[0] for r in rows], dtype="Int64"), "full": [r[1] for r in rows], "perfect": [r[2] for r in rows], "patterns": [r[3] for r in rows]})
@@ -346,7 +361,8 @@ def containers(nodes: DataFrame, capacity: int = 1024, group: int = 8) -> DataFr
 
     Each document is packed on its own; a null document_id is a document like any other.  A node above
     the capacity first fills whole containers (part 1, 2, ...) and its rest is packed; all other nodes
-    stay whole.  Nodes of size 0, with a null id, and repeats of an id are left out; of rows that share an id and differ the least counts.
+    stay whole.  tier is that of the longest item of the container: 1 for the whole context, 2 to 4 for a half,
+    a quarter and an eighth of it.  Nodes of size 0, with a null id, and repeats of an id are left out; of rows that share an id and differ the least counts.
     step_group deals the containers of a document out over `group` training steps: patterns come by
     falling length of their longest item, so going back and forth over the steps balances them.
     """
@@ -360,23 +376,23 @@ def containers(nodes: DataFrame, capacity: int = 1024, group: int = 8) -> DataFr
     # whole containers: numbered 1.. in the order of a hash, by the running total of a node's full containers
     big = running_total(cut.filter("full > 0"), ["document_id"], F.xxhash64("id"), ["id"], F.col("full"), "before", rows)
     whole = big.select("document_id", "id", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("part"), "before").select(
-        "document_id", (F.col("before") + F.col("part")).alias("container"), F.lit(capacity).alias("fill"), F.col("id").alias("node_id"), F.col("part").cast("int").alias("part"), F.lit(capacity).alias("tokens")
+        "document_id", (F.col("before") + F.col("part")).alias("container"), F.lit(capacity).alias("fill"), F.col("id").alias("node_id"), F.col("part").cast("int").alias("part"), F.lit(capacity).alias("tokens"), F.lit(1).alias("tier")
     )
 
     # of each document and size, which ranks go into which pattern
     uses = plans.select("document_id", F.posexplode("patterns").alias("p_no", "p")).select(
-        "document_id", "p_no", "p.first", "p.times", F.col("p.tokens").alias("fill"), F.explode("p.items").alias("i")
-    ).select("document_id", "p_no", "first", "times", "fill", "i.size", "i.k")
+        "document_id", "p_no", "p.first", "p.times", F.col("p.tokens").alias("fill"), "p.tier", F.explode("p.items").alias("i")
+    ).select("document_id", "p_no", "first", "times", "fill", "tier", "i.size", "i.k")
     slots = uses.groupBy(F.col("document_id").alias("u_document_id"), F.col("size").alias("u_size")).agg(
-        F.sort_array(F.collect_list(F.struct("p_no", "first", "times", "fill", "k"))).alias("slots")
+        F.sort_array(F.collect_list(F.struct("p_no", "first", "times", "fill", "k", "tier"))).alias("slots")
     )
     # the rank at which each pattern's share of the size begins
-    zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<struct<lo:bigint,hi:bigint,first:bigint,fill:int,k:int>>").alias("a"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.array().cast("array<struct<lo:bigint,hi:bigint,first:bigint,fill:int,k:int,tier:int>>").alias("a"))
     ranges = F.aggregate(
         "slots", zero,
         lambda acc, x: F.struct(
             (acc["upto"] + x["times"] * x["k"]).alias("upto"),
-            F.concat(acc["a"], F.array(F.struct(acc["upto"].alias("lo"), (acc["upto"] + x["times"] * x["k"]).alias("hi"), x["first"].alias("first"), x["fill"].alias("fill"), x["k"].alias("k")))).alias("a"),
+            F.concat(acc["a"], F.array(F.struct(acc["upto"].alias("lo"), (acc["upto"] + x["times"] * x["k"]).alias("hi"), x["first"].alias("first"), x["fill"].alias("fill"), x["k"].alias("k"), x["tier"].alias("tier")))).alias("a"),
         ),
     )["a"]
     slots = slots.select("u_document_id", "u_size", ranges.alias("ranges"))
@@ -385,15 +401,13 @@ def containers(nodes: DataFrame, capacity: int = 1024, group: int = 8) -> DataFr
         "r", F.get(F.filter("ranges", lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), F.lit(0))
     ).select(
         "document_id", (F.col("r.first") + F.floor((F.col("rank") - F.col("r.lo")) / F.col("r.k"))).alias("container"), F.col("r.fill").alias("fill"),
-        F.col("id").alias("node_id"), (F.col("full") + 1).cast("int").alias("part"), F.col("rest").alias("tokens"),
+        F.col("id").alias("node_id"), (F.col("full") + 1).cast("int").alias("part"), F.col("rest").alias("tokens"), F.col("r.tier").alias("tier"),
     )
-    size = F.col("tokens")
-    tier = F.when(2 * size > capacity, 1).when(4 * size > capacity, 2).when(8 * size > capacity, 3).otherwise(4)
     # the patterns come by falling length of their longest item; serpentine over rows of `group` containers
     lap, place = F.floor((F.col("container") - 1) / group), F.pmod(F.col("container") - 1, F.lit(group))
     step = F.when(F.pmod(lap, F.lit(2)) == 0, place).otherwise(group - 1 - place)
     return whole.unionByName(packed).select(
-        "document_id", "container", "fill", (step + 1).cast("int").alias("step_group"), "node_id", "part", "tokens", tier.alias("tier")
+        "document_id", "container", "fill", (step + 1).cast("int").alias("step_group"), "node_id", "part", "tokens", "tier"
     )
 
 

@@ -129,10 +129,10 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int,
             i, j = bisect.bisect_right(gaps, start), bisect.bisect_right(gaps, far)
             if i == j:
                 continue
-            # of the second half of the window the deepest valley, of equals the last; else the last cut
-            half = bisect.bisect_left(gaps, start + (far - start + 1) // 2, i, j)
-            if depth and half < j:
-                end = gaps[max(range(half, j), key=lambda k: (depth[k], k))]
+            # of the window the deepest valley that leaves a piece more new text than overlap, of equals the last; else the last cut
+            least = bisect.bisect_left(gaps, True, i, j, key=lambda g: e(start, g) > overlap)
+            if depth and least < j:
+                end = gaps[max(range(least, j), key=lambda k: (depth[k], k))]
             else:
                 end = gaps[j - 1]
             break

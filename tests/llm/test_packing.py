@@ -2,7 +2,7 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
-from quire.llm.packing import _least_containers, containers, exact, pack, perfect, tiered
+from quire.llm.packing import _least_containers, containers, exact, pack, perfect, route, tier_of, tiered
 
 SCHEMA = "id BIGINT, document_id BIGINT, token_count BIGINT, source_text STRING, container STRING"
 
@@ -89,3 +89,21 @@ def test_no_step_limit_decides():
             for s, k in items:
                 used[s] += k * times
         assert used == hist
+
+
+def test_no_perfect_file_is_missed():
+    rng = random.Random(3)
+    for _ in range(120):
+        sizes = []
+        for _ in range(rng.choice([10, 20, 30, 50, 80, 120, 200, 300, 500])):
+            cut = sorted(rng.sample(range(20, 1004), rng.randint(1, 4)))
+            sizes += [b - a for a, b in zip([0, *cut], [*cut, 1024])]
+        patterns, full = pack(dict(Counter(sizes)), 1024)
+        assert full and sum(t for t, _ in patterns) * 1024 == sum(sizes)
+
+
+def test_items_are_routed_to_the_shortest_window():
+    assert [tier_of(s, 1024) for s in (1024, 513, 512, 257, 256, 129, 128, 1)] == [1, 1, 2, 2, 3, 3, 4, 4]
+    assert route({600: 2, 300: 1, 100: 5}, 1024) == [{600: 2}, {300: 1}, {}, {100: 5}]
+    # a long window's gap is filled from the shorter tiers before these open containers of their own
+    assert tiered({600: 2, 300: 2, 124: 3}, 1024) == [(2, [(600, 1), (300, 1), (124, 1)]), (1, [(124, 1)])]

@@ -1,3 +1,4 @@
+import random
 import math
 import re
 
@@ -65,3 +66,15 @@ def test_frames(spark):
     assert all(r.tokens <= 600 and r.tokens == tokens(r.text) for r in pieces)
     assert "".join(long[r.new_start : r.text_end] for r in pieces if r.node_id == 1) == long
     assert found(df.limit(0)).count() == 0
+
+
+def test_the_cut_lies_between_two_topics():
+    rng = random.Random(4)
+    topics = ["river bank flood gauge silt plain water erosion slope bed".split(), "token router packet queue buffer link delay cache socket frame".split()]
+    hits = 0
+    for _ in range(30):
+        parts = [" ".join("The " + " ".join(rng.choices(topics[k], k=8)) + "." for _ in range(rng.randint(18, 26))) for k in (0, 1)]
+        text = parts[0] + " " + parts[1]
+        ends = [end for _, _, end, _ in split_text(text, 600, 60)]
+        hits += len(parts[0]) + 1 in ends
+    assert hits >= 27
