@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from quire.functions.tokens import WIDE_CLASS
 from quire.session import Stage, ship
 
-#: A node has page layout if its lines are at most so wide; a wide character counts twice.
+#: A node has page layout if most of its lines are at most so wide; a wide character counts twice.
 LINE_WIDTH = 100
-#: A word is known from so many occurrences in text without page layout.
-KNOWN = 3
+#: A word is known from so many occurrences in text without page layout, unless a word that it can be a
+#: misreading of is so many times as frequent: in a large corpus misreadings occur there too.
+KNOWN, DWARFED = 3, 2_000
 #: Commonest words that are sent to all tasks, so that they needn't be joined.
 COMMON = 5_000
 #: Words of up to so many letters are also checked by their neighbours, as a misreading may be a word itself.
@@ -83,6 +84,15 @@ _PAIRS = tuple({(a, b) for a, b in CONFUSED} | {(b, a) for a, b in CONFUSED})
 @lru_cache(maxsize=100_000)
 def confusions(seen: str, word: str) -> int:
     """The least number of confusions that make `word` look like `seen`, or 99."""
+    # equal ends take no confusion; two glyphs of them stay, as the longest forms have two
+    k = 0
+    while k < min(len(seen), len(word)) and seen[k] == word[k]:
+        k += 1
+    seen, word = seen[max(0, k - 2) :], word[max(0, k - 2) :]
+    k = 0
+    while k < min(len(seen), len(word)) and seen[-1 - k] == word[-1 - k]:
+        k += 1
+    seen, word = (x[: len(x) - max(0, k - 2)] for x in (seen, word))
     n, m = len(seen), len(word)
     best = [[99] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0
@@ -153,8 +163,9 @@ def width(line: str) -> int:
 
 
 def has_layout(text: str) -> bool:
-    lines = text.split("\n")
-    return max(map(len, lines)) <= LINE_WIDTH and bool(text.strip()) and max(map(width, lines)) <= LINE_WIDTH
+    """Whether more than half of the lines that aren't blank fit a page; a wide one among them may be anything."""
+    widths = sorted(width(x) for x in text.split("\n") if x.strip())
+    return bool(widths) and widths[len(widths) // 2] <= LINE_WIDTH
 
 
 def words_of(text: str) -> list[str]:
@@ -183,7 +194,7 @@ def _read(nodes: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
 
     def counted(words: Counter, pairs: Counter) -> pa.RecordBatch:
-        rows = [("word", None, None, n, w, None, None) for w, n in words.items() if len(w) <= 40]
+        rows = [("word", None, None, n, w, None, None) for w, n in words.items()]
         rows += [("pair", None, None, n, f"{x} {y}", None, None) for (x, y), n in pairs.items() if len(x) <= CONTEXT_LETTERS or len(y) <= CONTEXT_LETTERS]
         words.clear()
         pairs.clear()
@@ -304,7 +315,7 @@ def _scan(nodes: DataFrame, common: list[str], twins: dict[str, list[str]]) -> D
                     for k, (w, x) in enumerate(zip(words, low)):
                         if x in twins and k and k + 1 < len(low):
                             rows += [(i, no + 1, "context", low[k - 1], x, low[k + 1], None, y) for y in twins[x]]
-                        if x in common or x in seen or not _is_word(w) or len(x) > 40:
+                        if x in common or x in seen or not _is_word(w):
                             continue
                         seen.add(x)
                         rows.append((i, no + 1, "word", None, x, None, None, None))
@@ -319,23 +330,24 @@ def _scan(nodes: DataFrame, common: list[str], twins: dict[str, list[str]]) -> D
 def _look_up(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, n, best, best_n): the count of each token itself and the word that it is a misreading of."""
     # numbers share few skeletons and are never what a word should be
-    classes = vocabulary.filter(F.col("word").rlike(r"\p{L}")).groupBy(F.col("skel").alias("c_skel")).agg(F.collect_list(F.struct("n", "word")).alias("c"))
+    classes = vocabulary.filter(F.col("word").rlike(r"\p{L}")).groupBy(F.col("skel").alias("c_skel")).agg(F.collect_list(F.struct("n", "word")).alias("c"), F.max("n").alias("most"))
 
     @F.pandas_udf("best STRING, best_n BIGINT")
     def best(token: pd.Series, n: pd.Series, c: pd.Series) -> pd.DataFrame:
         out = []
         for t, own, cands in zip(token, n, c):
             x = None
-            if cands is not None and not own:
-                x = misread_of(t, [(int(y["n"]), y["word"]) for y in cands if any(ch.isalpha() for ch in y["word"])])
+            if cands is not None:
+                x = misread_of(t, [(int(y["n"]), y["word"]) for y in cands if y["n"] >= DWARFED * own and any(ch.isalpha() for ch in y["word"])])
             out.append(x or (None, None))
         return pd.DataFrame(out, columns=["best", "best_n"]).astype({"best_n": "Int64"})
 
     t = tokens.withColumn("skel", skeleton_column(F.col("token")))
     t = t.join(vocabulary.select("word", "n"), F.col("token") == F.col("word"), "left").join(classes, F.col("skel") == F.col("c_skel"), "left")
     n = F.coalesce("n", F.lit(0).cast("bigint"))
-    unknown = t.filter("n IS NULL AND c IS NOT NULL").withColumn("x", best("token", n, "c")).select("token", n.alias("n"), "x.best", "x.best_n")
-    rest = t.filter("n IS NOT NULL OR c IS NULL").select("token", n.alias("n"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("bigint").alias("best_n"))
+    asked = F.coalesce(F.col("most") >= DWARFED * n, F.lit(False))
+    unknown = t.filter(asked).withColumn("x", best("token", n, "c")).select("token", F.when(F.col("x.best").isNull(), n).otherwise(0).alias("n"), "x.best", "x.best_n")
+    rest = t.filter(~asked).select("token", n.alias("n"), F.lit(None).cast("string").alias("best"), F.lit(None).cast("bigint").alias("best_n"))
     return unknown.unionByName(rest)
 
 
@@ -371,9 +383,12 @@ def findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = found.filter("best IS NOT NULL")
     characters = words.join(bad, F.col("a") == F.col("token")).select("node_id", "line_no", "a", "best")
 
-    for name in ("a", "b", "joined", "dashed"):
-        f = found.select(F.col("token").alias(f"{name}_t"), F.col("n").alias(f"{name}_n"), F.col("best").alias(f"{name}_best"), F.coalesce(F.when(F.col("n") > 0, F.col("n")), "best_n", F.lit(0)).alias(f"{name}_any"))
-        breaks = breaks.join(f, F.col(name) == F.col(f"{name}_t"), "left").drop(f"{name}_t")
+    # both parts and both ways to join them are looked up in one join
+    names, keys = ("a", "b", "joined", "dashed"), breaks.columns
+    parts = breaks.select("*", F.posexplode(F.array(*names)).alias("which", "part")).join(found, F.col("part") == F.col("token"), "left")
+    any_n = F.coalesce(F.when(F.col("n") > 0, F.col("n")), "best_n", F.lit(0))
+    of = lambda k, c: F.max(F.when(F.col("which") == k, c))
+    breaks = parts.groupBy(*keys).agg(*[of(k, any_n).alias(f"{x}_any") for k, x in enumerate(names)], *[of(k, F.col("best")).alias(f"{x}_best") for k, x in enumerate(names)])
     compound = (F.col("joined_any") == 0) & (F.col("dashed_any") == 0) & (F.col("a_any") > 0) & (F.col("b_any") > 0)
     marked = F.col("mark") != ""
     case = marked & ((F.col("mark").isin("­", "¬")) | ((F.col("dashed_any") <= F.col("joined_any")) & ~compound))

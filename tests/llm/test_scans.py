@@ -59,3 +59,19 @@ def test_parts(spark):
     words = ["modest", "rnodest", "Recorcls", "w!th", "vvith", "hum", "bum", "7he"]
     df = spark.createDataFrame([(w,) for w in words], "w STRING")
     assert [r.s for r in df.select(skeleton_column(df.w).alias("s")).collect()] == [skeleton(w) for w in words]
+
+
+def test_a_wide_line_does_not_hide_the_others(spark):
+    wide = "This line is far wider than any page has room for, as it was put in from a table whose rows stand in one line each of the text."
+    word = "w" * 50 + "ood"
+    good = " ".join(["the river bank measurement is clean and " + word] * 20)
+    rows = [(k, 1, "paragraph", None, good, 0) for k in range(4)]
+    rows.append((9, 1, "paragraph", "3", "The river bank measure-\nment is clean\nand thc bank is clean\nand " + word.replace("ood", "o0d") + " is clean\n\n" + wide, 0))
+    df = spark.createDataFrame(rows, "id BIGINT, document_id BIGINT, node_type STRING, source_pages STRING, source_text STRING, line_no INT")
+    got = {(r.node_id, r.line_no, r.noise_kind) for r in found(df).collect()}
+    assert got == {(9, 1, "hyphen"), (9, 3, "characters"), (9, 4, "characters")}
+
+
+def test_confusions_of_long_words():
+    assert confusions("x" * 5000 + "rn" + "y" * 5000, "x" * 5000 + "m" + "y" * 5000) == 1
+    assert confusions("bank", "bank") == 0 and confusions("clock", "dock") == 1 and confusions("bonk", "bank") == 1 and confusions("dog", "cat") == 99
