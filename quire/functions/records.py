@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The signs of identifiers, and their form.
 BASE32 = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
 MEMORY_ID = r"^MEM-[0-7][0-9A-HJKMNP-TV-Z]{25}$"
 #: Labels that a page's layout always leaves out.
@@ -29,6 +30,11 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def fingerprint(**fields: Column) -> Column:
+    """SHA-256 of the canonical JSON of settings, so that equal settings have equal fingerprints."""
+    return F.sha2(canonical_json(**fields), 256)
+
+
 def retry_after(header: Column) -> Column:
     """Seconds of a Retry-After header, at most 300; null for a date, a negative or no number."""
     text = F.trim(header)
@@ -64,3 +70,10 @@ def is_semver(c: Column) -> Column:
 def is_instant(c: Column) -> Column:
     """ISO 8601 with date, time and zone."""
     return F.coalesce(c.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"), F.lit(False))
+
+
+def version_state(has: Column, wants: Column) -> Column:
+    """'same', 'behind' or 'ahead' by the three numbers of two versions; 'unknown' where one isn't a version."""
+    number = lambda c: F.transform(F.split(F.regexp_extract(c, r"^(\d+\.\d+\.\d+)", 1), r"\."), lambda x: x.try_cast("bigint"))
+    a, b = number(has), number(wants)
+    return F.when(~is_semver(has) | ~is_semver(wants), "unknown").when(a == b, "same").when(a < b, "behind").otherwise("ahead")

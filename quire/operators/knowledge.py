@@ -59,6 +59,13 @@ def lint(notes: DataFrame, required: list[str], allowed: dict[str, list[str]], s
     return notes.select("id", F.explode(F.array_compact(F.array(*found))).alias("x")).select("id", "x.code", "x.detail")
 
 
+def split_relation(relation: Column) -> tuple[Column, Column]:
+    """(kind, target) of 'kind:target'; a target alone is 'related_to'."""
+    kind = F.trim(F.substring_index(relation, ":", 1))
+    plain = ~F.contains(relation, F.lit(":"))
+    return F.when(plain | (kind == ""), "related_to").otherwise(kind), F.trim(F.regexp_replace(relation, r"^[^:]*:", ""))
+
+
 def resolve_link(source: Column, target: Column) -> Column:
     """The path that a relative or rooted link leads to; null for an external or empty one."""
     t = F.regexp_replace(F.trim(target), "#.*$", "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,3 +80,31 @@ def summary(checked: DataFrame) -> DataFrame:
     return checked.groupBy("document_id").agg(F.count(F.lit(1)).alias("units"), n("pass").alias("passed"), n("warn").alias("warned"), n("fail").alias("failed"), n("fallback").alias("fell_back")).withColumn(
         "verdict", F.when(F.col("failed") > 0, "failed").when(F.col("warned") + F.col("fell_back") > 0, "warnings").otherwise("pass")
     )
+
+
+def repair(units: DataFrame, chat: Callable[[str, str, str], str]) -> DataFrame:
+    """The columns of ``units`` with findings and qa_status, each failed unit repaired once by
+    chat(source_text, translation_text, codes) where that leaves no finding of high severity; repaired tells where.
+
+    A repair that raises, or gives no text, leaves the unit as it was.  ``units`` has a unique id."""
+    checked = findings(units)
+    failed = checked.filter("qa_status = 'fail'").select("id", F.coalesce("source_text", F.lit("")).alias("source_text"), F.coalesce("translation_text", F.lit("")).alias("old"), F.array_join(F.transform("findings", lambda x: x["code"]), ",").alias("codes"), "status", *[c for c in ("warning_flags", "terminology") if c in units.columns])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for s, t, c in zip(b["source_text"], b["old"], b["codes"]):
+                try:
+                    out.append(chat(s, t, c) or None)
+                except Exception:  # noqa: BLE001 - a repair that fails leaves the unit as it was
+                    out.append(None)
+            yield pd.DataFrame({"id": b["id"], "translation_text": out})
+
+    new = failed.select("id", "source_text", "old", "codes").mapInPandas(run, "id BIGINT, translation_text STRING").filter("translation_text IS NOT NULL")
+    again = findings(failed.drop("old", "codes").join(new, "id")).filter(~F.exists("findings", lambda x: x["severity"] == "high"))
+    again = again.select(F.col("id").alias("r_id"), F.col("translation_text").alias("r_text"), F.col("findings").alias("r_findings"), F.col("qa_status").alias("r_status"))
+    j = checked.join(again, F.col("id") == F.col("r_id"), "left")
+    taken = F.col("r_id").isNotNull()
+    pick = lambda old, new: F.when(taken, F.col(new)).otherwise(F.col(old)).alias(old)
+    kept = [pick("translation_text", "r_text") if c == "translation_text" else F.col(c) for c in units.columns]
+    return j.select(*kept, pick("findings", "r_findings"), pick("qa_status", "r_status"), taken.alias("repaired"))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import markdown as M
@@ -24,12 +24,22 @@ def extract_reply(raw: str, unit_key: str) -> str:
     return (raw[at + len(begin) : stop] if stop >= 0 else raw).strip() + "\n"
 
 
+def reply_between_marks(raw: Column, unit_key: Column) -> Column:
+    """``extract_reply`` as a column."""
+    begin, end = F.concat(F.lit("<<<UNIT:"), unit_key, F.lit(":BEGIN>>>")), F.concat(F.lit("<<<UNIT:"), unit_key, F.lit(":END>>>"))
+    at = F.instr(raw, begin)
+    rest = F.substring(raw, at + F.length(begin), F.length(raw))
+    stop = F.instr(rest, end)
+    inner = F.when((at > 0) & (stop > 0), F.substring(rest, F.lit(1), stop - 1)).otherwise(raw)
+    return F.concat(F.regexp_replace(inner, r"^\s+|\s+\z", ""), F.lit("\n"))
+
+
 class Failed(Exception):
     pass
 
 
 def once(chat: Chat, key: str, text: str) -> tuple[str, int, int]:
-    """One call for one text: spans that pass through stay, protected ones must come back whole."""
+    """One call for one text; protected spans must come back whole."""
     shielded, spans = M.protect(text)
     raw, reason, prompt, completion = chat(key, shielded)
     if reason not in ("stop", None, ""):
@@ -40,6 +50,20 @@ def once(chat: Chat, key: str, text: str) -> tuple[str, int, int]:
     return back, prompt or 0, completion or 0
 
 
+def flat(chat: Chat, key: str, text: str) -> tuple[str, int, int]:
+    """A text in one go: spans that pass through stay as they are, the rest goes piece by piece; the counts are
+    those of the last piece that was sent."""
+    out, counts = [], (0, 0)
+    for kind, piece in M.passthrough(text):
+        if kind != "text" or not piece.strip():
+            out.append(piece)
+            continue
+        lead, tail = piece[: len(piece) - len(piece.lstrip())], piece[len(piece.rstrip()) :]
+        back, *counts = once(chat, key, piece.strip())
+        out.append(lead + back.strip() + tail)
+    return "".join(out), counts[0], counts[1]
+
+
 def ladder(chat: Chat, key: str, text: str, retries: int) -> tuple[str, str, str | None, int, int, int]:
     """(translation, status, error, attempts, prompt tokens, completion tokens): retries, then both halves
     once, then the source text as a marked fallback."""

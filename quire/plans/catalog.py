@@ -1,4 +1,4 @@
-"""The catalog of notes: records, filters, search, statistics, and the query on a small fixture."""
+"""The catalog of notes: records, filters, search, and statistics."""
 
 from __future__ import annotations
 
@@ -96,42 +96,3 @@ def catalog_drift(spark, sf_dir):
     actual = notes(spark, sf_dir).select("doc_id", "content")
     expected = actual.groupBy("content").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "content")
     return drift(expected, actual, ["doc_id"])
-
-
-RECORDS = [
-    ("m1", "Alpha architecture", "Alpha kernel boundary", "active", -1, 1), ("m2", "Beta implementation", "Body token-2", "active", -1, 1), ("m3", "Alpha candidate", "Body token-3", "candidate", -1, 1),
-    ("m4", "Old active memory", "Body token-4", "active", -3, -2), ("m5", "Third hop", "Body token-5", "active", -1, 1),
-]
-EDGES = [("m1", "related_to", "m2"), ("m1", "related_to", "m3"), ("m1", "related_to", "m4"), ("m2", "related_to", "m5")]
-NOW = "2026-07-24 02:00:00"
-
-
-def fixture(spark):
-    """Five records and four relations around one instant."""
-    rows = [(i, f"memory/{i}.md", t, c, s, a, z, ["shared", f"tag-{i[1]}"], [f"entity-{i[1]}"]) for i, t, c, s, a, z in RECORDS]
-    r = spark.createDataFrame(rows, "memory_id STRING, path STRING, title STRING, content STRING, status STRING, a INT, z INT, tags ARRAY<STRING>, entity_ids ARRAY<STRING>")
-    day = lambda c: F.timestamp_add("DAY", F.col(c), F.lit(NOW).cast("timestamp"))
-    r = r.select("memory_id", "path", "title", C.description(F.col("content")).alias("description"), "content", "status", "tags", "entity_ids", F.lit("query-test").alias("namespace"), F.lit("workspace-1").alias("workspace_id"), day("a").alias("valid_from"), day("z").alias("valid_until"))
-    return r, spark.createDataFrame(EDGES, "memory_id STRING, relation_type STRING, target_memory_id STRING")
-
-
-@P.add("""
-SELECT * FROM (VALUES ('alpha keyword', 1, 'm1', 3.0::DOUBLE, NULL, 'scope|status|validity|title|description|content'), ('related', 1, 'm1', NULL, NULL, 'memory_id|status|validity'), ('related', 2, 'm2', NULL, 'm1', 'relations'),
-  ('entity', 1, 'm2', NULL, NULL, 'scope|status|validity'), ('until', 1, 'm4', NULL, NULL, 'memory_id|status|validity')) t(asked, rank, memory_id, score, relation_source_id, matched_fields)
-""")
-def memory_query_fixture(spark, sf_dir):
-    """Filters, scope, validity, keyword, one hop and rank on the fixture; the SQL states the rows that must come."""
-    records, relations = fixture(spark)
-    scope = {"namespace": "query-test", "workspace_id": "workspace-1"}
-    asked = {
-        "alpha keyword": C.Request(text="ALPHA", scope=scope, valid_at=NOW),
-        "related": C.Request(memory_ids=("m1",), include_related=True, valid_at=NOW),
-        "entity": C.Request(scope=scope, entity_ids=("entity-2",), valid_at=NOW),
-        "until": C.Request(memory_ids=("m4",), valid_at="2026-07-22 02:00:00"),
-        "past": C.Request(memory_ids=("m4",), valid_at=NOW),
-    }
-    out = None
-    for name, request in asked.items():
-        q = C.query(records, relations, request).select(F.lit(name).alias("asked"), "rank", "memory_id", "score", "relation_source_id", F.array_join("matched_fields", "|").alias("matched_fields"))
-        out = q if out is None else out.unionByName(q)
-    return out

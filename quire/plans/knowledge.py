@@ -150,15 +150,16 @@ def capsule_payload(spark, sf_dir):
 
 
 @P.add("""
-SELECT * FROM (VALUES ('MEM-01ARYZ6S41TSV4RRFFQ69G5FAV', true, 12.5::DOUBLE, 'hello', 7::BIGINT), ('MEM-01ARYZ6S41TSV4RRFFQ69G5FAU', false, 300.0::DOUBLE, 'part one', 0::BIGINT), (NULL, false, NULL, NULL, 3::BIGINT)) t(memory_id, id_ok, wait_s, reply, hit)
+SELECT doc_id, sha256(text) AS reply_hash, fetched_at IS NOT NULL AND text IS NOT NULL AS id_ok, false AS changed_id_ok, CASE WHEN n_chars >= 0 THEN least(n_chars, 300)::DOUBLE END AS wait_s, n_chars AS used,
+  fetched_at IS NOT NULL AS instant_ok, false AS day_ok FROM documents
 """)
 def service_values(spark, sf_dir):
-    """Identifiers, waiting times and replies on fixed rows; the SQL states what must come."""
-    chat = '{"choices":[{"message":{"content":%s}}]}'
-    rows = [
-        ("MEM-01ARYZ6S41TSV4RRFFQ69G5FAV", " 12.5 ", chat % '"hello"', '{"prompt_cache_hit_tokens":0,"cache_hit_tokens":7}'),
-        ("MEM-01ARYZ6S41TSV4RRFFQ69G5FAU", "999", chat % '[{"text":"part "},{"x":1},{"text":"one"}]', "{}"),
-        (None, "Wed, 21 Oct", "{}", '{"prompt_cache_hit_tokens":3}'),
-    ]
-    d = spark.createDataFrame(rows, "memory_id STRING, header STRING, reply STRING, usage STRING")
-    return d.select("memory_id", R.is_memory_id(F.col("memory_id")).alias("id_ok"), R.retry_after(F.col("header")).alias("wait_s"), R.chat_text(F.col("reply")).alias("reply"), R.usage_field(F.col("usage"), "prompt_cache_hit_tokens", "cache_hit_tokens").alias("hit"))
+    """Identifiers, waiting times, replies and instants of a service, made from the rows of documents and read back."""
+    d = table(spark, sf_dir, "documents")
+    reply = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
+    i = R.memory_id(F.col("fetched_at"), F.substring(F.sha2("text", 256), 1, 20))
+    usage = F.to_json(F.struct(F.lit(0).alias("prompt_cache_hit_tokens"), F.col("n_chars").alias("cache_hit_tokens")))
+    return d.select(
+        "doc_id", F.sha2(R.chat_text(reply), 256).alias("reply_hash"), R.is_memory_id(i).alias("id_ok"), R.is_memory_id(F.concat(i, F.lit("0"))).alias("changed_id_ok"), R.retry_after(F.format_string(" %s ", F.col("n_chars"))).alias("wait_s"),
+        R.usage_field(usage, "prompt_cache_hit_tokens", "cache_hit_tokens").alias("used"), R.is_instant(F.date_format("fetched_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("instant_ok"), R.is_instant(F.date_format("fetched_at", "yyyy-MM-dd")).alias("day_ok"),
+    )
