@@ -73,7 +73,10 @@ def note_lint(spark, sf_dir):
     return K.lint(n, ["memory_type", "status"], {"status": ["active", "candidate"]}).select("id", F.concat_ws(":", "code", "detail").alias("finding"))
 
 
-@P.add()
+@P.add("""
+SELECT id, 'done' AS status, 1 AS attempts, length(upper(trim(coalesce(source_text, ''), ' ' || chr(9) || chr(10) || chr(13))))::INTEGER + 1 AS chars
+FROM (SELECT DISTINCT id, unit_key, source_text, translation_text, status FROM translation_units) WHERE NOT coalesce(status = 'done' AND length(translation_text) > 0, false)
+""")
 def translate_pending(spark, sf_dir):
     """(id, status, attempts, chars) of the units still to translate, by a function that stands for the service."""
     ship(spark)

