@@ -1,17 +1,23 @@
 """Ordered folds: sequential rules over the rows of a group, which no window function expresses.
 
-The rows are brought together by key and sorted inside each task; the rule then runs over the sorted
-stream with the state of one group, so that a group of any length takes constant memory.
+``ranged_fold`` cuts the rows into ranges of key and order, whatever the groups, so that a group of any
+length is worked on by many tasks: each range is run from a guessed state, and where the true state that
+comes in from the range before is another, the rule is run again until both runs are in one state, which
+for packing rules takes a few rows.  ``ordered_fold`` runs any rule over whole groups, in constant memory.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.operators.prefix import running_total_blocks
 from quire.operators.state import top_k
 from quire.session import Stage, ship
 
@@ -51,73 +57,175 @@ def _missing(v) -> bool:
     return v is None or (isinstance(v, float) and v != v) or v is pd.NA
 
 
-def partition_rule(first: int = 96_000, target: int = 220_000, most: int = 300_000) -> Rule:
-    """Packing of units into partitions: one closes before a unit that would lift it above ``most`` and
-    after the unit with which it reaches its target; the first has a target of its own."""
+@dataclass(frozen=True)
+class Machine:
+    """A rule with an open state: step(state, row) gives the next state and a whole number, which with
+    ``numbers`` is 1 where the row opens the next number and 0 where it doesn't.  States are flat tuples;
+    ``guess`` is the state that a range is run from before the true one is known."""
 
-    def make():
-        number, size = 1, 0
+    start: tuple
+    guess: tuple
+    step: Callable[[tuple, tuple], tuple[tuple, int]]
+    numbers: bool = True
+
+    def __call__(self) -> Callable[[tuple], tuple]:
+        """The rule for one group, row by row."""
+        state, number = self.start, 1
 
         def step(row: tuple) -> tuple:
-            nonlocal number, size
-            tokens = int(row[0] or 0)
-            if size and size + tokens > most:
-                number, size = number + 1, 0
-            mine = number
-            size += tokens
-            if size >= (first if number == 1 else target):
-                number, size = number + 1, 0
-            return (mine,)
+            nonlocal state, number
+            state, value = self.step(state, row)
+            if not self.numbers:
+                return (value,)
+            number += value
+            return (number,)
 
         return step
 
-    return make
 
+def ranged_fold(df: DataFrame, key: str, order: list[str], inputs: list[str], machine: Machine, output: str) -> DataFrame:
+    """(key, order, ``output`` BIGINT): what the machine gives for each row of a group in order, a number from 1 or its value.
 
-def chunk_rule(limit: int = 2_000) -> Rule:
-    """Packing of blocks into chunks of at most ``limit`` characters, a block counting two more for its separator."""
+    ``order`` must be unique within a group; null keys form a group, null orders come first.  An empty
+    table gives no rows.  What is collected is one row for each range of the shuffle."""
+    spark = df.sparkSession
+    ship(spark)
+    stage = Stage(spark, "fold")
+    columns = list(dict.fromkeys([key, *order, *inputs]))
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
-    def make():
-        number, size = 1, 0
+    def rows_of(b: pd.DataFrame) -> Iterator[tuple]:
+        return zip(*(b[c].tolist() for c in inputs))
 
-        def step(row: tuple) -> tuple:
-            nonlocal number, size
-            n = int(row[0] or 0) + 2
-            if size and size + n > limit:
-                number, size = number + 1, 0
-            size += n
-            return (number,)
+    def clean(values: tuple) -> tuple:
+        return tuple(None if _missing(v) else v for v in values)
 
-        return step
+    def guess(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, at, run, current, state = TaskContext.get().partitionId(), 0, -1, None, None
+        for b in batches:
+            values, runs = [], []
+            for k, row in zip(b[key].tolist(), rows_of(b)):
+                k = None if pd.isna(k) else k
+                if run < 0 or k != current:
+                    run, current = min(run + 1, 1), k
+                    state = machine.guess if run == 0 else machine.start
+                state, v = machine.step(state, clean(row))
+                values.append(v)
+                runs.append(run)
+            if not values:
+                continue
+            b = b.assign(__range=task, __at=range(at, at + len(values)), __run=runs, __v=values, __end=None)
+            b["__end"] = b["__end"].astype(object)
+            b.iloc[-1, b.columns.get_loc("__end")] = json.dumps(state)
+            at += len(values)
+            yield b
+
+    ranged = df.select(*columns).repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    raw = stage.write(ranged.mapInPandas(guess, f"{kinds}, __range INT, __at BIGINT, __run INT, __v BIGINT, __end STRING"), "guess")
+    ends = raw.groupBy("__range").agg(
+        F.min_by(F.struct(F.col(key).alias("k")), "__at").alias("first"), F.max_by(F.struct(F.col(key).alias("k")), "__at").alias("last"), F.max_by("__end", "__at").alias("end"), F.max("__run").alias("runs")
+    ).collect()  # one row for each range
+    ends.sort(key=lambda r: r["__range"])
+    state_after = {r["__range"]: tuple(json.loads(r["end"])) for r in ends}
+
+    def incoming() -> dict[int, tuple]:
+        out, before = {}, None
+        for r in ends:
+            same = before is not None and before["last"]["k"] == r["first"]["k"]
+            out[r["__range"]] = state_after[before["__range"]] if same else machine.start
+            before = r
+        return out
+
+    single = {r["__range"] for r in ends if r["runs"] == 0}
+    settled: dict[int, tuple] = {}  # the state that a range's first run was last run from
+    fixes: list[tuple[DataFrame, set[int]]] = []
+    while todo := {r: x for r, x in incoming().items() if settled.get(r, machine.guess) != x}:
+
+        def again(batches: Iterator[pd.DataFrame], todo: dict[int, tuple] = todo) -> Iterator[pd.DataFrame]:
+            current, true, guessed, synced = None, None, None, False
+            for b in batches:
+                out = []
+                for r, at, row in zip(b["__range"].tolist(), b["__at"].tolist(), rows_of(b)):
+                    if r != current:
+                        if current is not None and not synced:
+                            out.append((current, -1, None, json.dumps(true)))
+                        current, true, guessed, synced = r, todo[r], machine.guess, False
+                    if synced:
+                        continue
+                    row = clean(row)
+                    (true, v), (guessed, w) = machine.step(true, row), machine.step(guessed, row)
+                    if v != w:
+                        out.append((r, at, v, None))
+                    synced = true == guessed
+                yield pd.DataFrame(out, columns=["__range", "__at", "__v", "__end"]).astype({"__v": "Int64"})
+            if current is not None and not synced:
+                yield pd.DataFrame([(current, -1, None, json.dumps(true))], columns=["__range", "__at", "__v", "__end"]).astype({"__v": "Int64"})
+
+        part = raw.filter((F.col("__run") == 0) & F.col("__range").isin(*todo)).select("__range", "__at", *[c for c in inputs])
+        fix = stage.write(part.repartition("__range").sortWithinPartitions("__range", "__at").mapInPandas(again, "__range INT, __at BIGINT, __v BIGINT, __end STRING"), "fix")
+        fixes = [(f, has - set(todo)) for f, has in fixes] + [(fix, set(todo))]
+        settled |= todo
+        unsynced = {r["__range"]: tuple(json.loads(r["__end"])) for r in fix.filter("__at = -1").collect()}  # at most one row for each range
+        guessed_ends = {r["__range"]: tuple(json.loads(r["end"])) for r in ends}
+        for r in todo:
+            if r in single:  # where the runs met, the guessed run's end is the true one
+                state_after[r] = unsynced.get(r, guessed_ends[r])
+    values = raw.select(*dict.fromkeys([key, *order]), "__range", "__at", "__v")
+    better = None
+    for f, has in fixes:
+        if has:
+            f = f.filter((F.col("__at") >= 0) & F.col("__range").isin(*has)).select(F.col("__range").alias("__r"), F.col("__at").alias("__a"), F.col("__v").alias("__new"))
+            better = f if better is None else better.unionByName(f)
+    if better is not None:
+        values = values.join(better, (F.col("__range") == F.col("__r")) & (F.col("__at") == F.col("__a")), "left").withColumn("__v", F.coalesce("__new", "__v")).drop("__r", "__a", "__new")
+    if machine.numbers:
+        values = running_total_blocks(values, [key], F.col("__range"), ["__at"], F.col("__v"), "__before").withColumn("__v", F.col("__before") + F.col("__v") + 1)
+    return values.select(*dict.fromkeys([key, *order]), F.col("__v").cast("bigint").alias(output))
+
+
+def partition_rule(first: int = 96_000, target: int = 220_000, most: int = 300_000) -> Machine:
+    """Packing of units into partitions: one closes before a unit that would lift it above ``most`` and
+    after the unit with which it reaches its target; the first has a target of its own."""
 
-    return make
+    def step(state: tuple, row: tuple) -> tuple[tuple, int]:
+        is_first, size, closed = state
+        tokens = int(row[0] or 0)
+        opens = bool(closed or (size and size + tokens > most))
+        is_first, size = is_first and not opens, tokens if opens else size + tokens
+        closes = size >= (first if is_first else target)
+        return (is_first, 0 if closes else size, closes), int(opens)
 
+    return Machine((True, 0, False), (False, 0, False), step)
 
-def unit_rule(target: int = 12_000, most: int = 24_000, least: int = 1_500, atomic: frozenset[str] = frozenset()) -> Rule:
+
+def chunk_rule(limit: int = 2_000) -> Machine:
+    """Packing of blocks into chunks of at most ``limit`` characters, a block counting two more for its separator."""
+
+    def step(state: tuple, row: tuple) -> tuple[tuple, int]:
+        n = int(row[0] or 0) + 2
+        opens = bool(state[0] and state[0] + n > limit)
+        return (n if opens else state[0] + n,), int(opens)
+
+    return Machine((0,), (0,), step)
+
+
+def unit_rule(target: int = 12_000, most: int = 24_000, least: int = 1_500, atomic: frozenset[str] = frozenset()) -> Machine:
     """Packing of nodes (tokens, type, level) into units: a heading of level 1 or 2 opens a unit if the open
     one has ``least`` tokens; no unit grows above ``most`` except by its first node; one closes after a
     node that isn't atomic at ``target``.  A longer node that isn't atomic has a unit of its own."""
 
-    def make():
-        number, size, empty = 1, 0, True
+    def step(state: tuple, row: tuple) -> tuple[tuple, int]:
+        size, empty, closed = state
+        tokens, kind, level = int(row[0] or 0), row[1], row[2]
+        whole = kind in atomic
+        alone = not whole and tokens > most
+        heads = kind == "heading" and level is not None and level <= 2 and size >= least
+        opens = bool(closed or (not empty and (heads or alone or size + tokens > most)))
+        size = tokens if opens else size + tokens
+        closes = alone or (size >= target and not whole)
+        return ((0, True, True) if closes else (size, False, False)), int(opens)
 
-        def step(row: tuple) -> tuple:
-            nonlocal number, size, empty
-            tokens, kind, level = int(row[0] or 0), row[1], row[2]
-            whole = kind in atomic
-            alone = not whole and tokens > most
-            opens = kind == "heading" and level is not None and level <= 2 and size >= least
-            if not empty and (opens or alone or size + tokens > most):
-                number, size, empty = number + 1, 0, True
-            mine = number
-            size, empty = size + tokens, False
-            if alone or (size >= target and not whole):
-                number, size, empty = number + 1, 0, True
-            return (mine,)
-
-        return step
-
-    return make
+    return Machine((0, True, False), (0, True, False), step)
 
 
 def budget_rule(budget: int) -> Rule:
@@ -179,26 +287,21 @@ def select_within_budget(df: DataFrame, key: str, order: list[str], tokens: Colu
     return must.select(*columns, F.lit("selected").alias("state")).unionByName(others)
 
 
-def limit_rule(start: int = 16, most: int = 64, every: int = 30) -> Rule:
+def limit_rule(start: int = 16, most: int = 64, every: int = 30) -> Machine:
     """Simulation of an adaptive limit over a log of HTTP codes: two more for each ``every`` successes in a
     row, half after a 429, three quarters after a 503, never below 1; other codes leave it."""
 
-    def make():
-        limit, streak = start, 0
-
-        def step(row: tuple) -> tuple:
-            nonlocal limit, streak
-            code = row[0]
-            if code == 200:
-                streak += 1
-                if streak >= every:
-                    limit, streak = min(most, limit + 2), 0
-            elif code == 429:
-                limit, streak = max(1, limit // 2), 0
-            elif code == 503:
-                limit, streak = max(1, limit * 3 // 4), 0
-            return (limit,)
-
-        return step
-
-    return make
+    def step(state: tuple, row: tuple) -> tuple[tuple, int]:
+        limit, streak = state
+        code = row[0]
+        if code == 200:
+            streak += 1
+            if streak >= every:
+                limit, streak = min(most, limit + 2), 0
+        elif code == 429:
+            limit, streak = max(1, limit // 2), 0
+        elif code == 503:
+            limit, streak = max(1, limit * 3 // 4), 0
+        return (limit, streak), limit
+
+    return Machine((start, 0), (start, 0), step, numbers=False)

@@ -44,7 +44,7 @@ SELECT document_id, id AS unit_id, part::BIGINT AS partition_no FROM f
 def partition_pack(spark, sf_dir):
     u = once(table(spark, sf_dir, "translation_units"), "id", "document_id", "sequence_index", "source_tokens", "source_text")
     u = u.select("id", "document_id", "sequence_index", F.coalesce("source_tokens", estimate_tokens(F.col("source_text"))).alias("tokens"))
-    f = folds.ordered_fold(u, "document_id", ["sequence_index", "id"], ["tokens"], folds.partition_rule(FIRST, TARGET, MOST), "partition_no BIGINT")
+    f = folds.ranged_fold(u, "document_id", ["sequence_index", "id"], ["tokens"], folds.partition_rule(FIRST, TARGET, MOST), "partition_no")
     return f.select("document_id", F.col("id").alias("unit_id"), "partition_no")
 
 
@@ -61,7 +61,7 @@ SELECT document_id, id AS node_id, chunk::BIGINT AS chunk_no FROM f
 def char_chunk_pack(spark, sf_dir):
     n = once(table(spark, sf_dir, "structural_nodes"), "id", "document_id", "sequence_index", "source_text").filter("coalesce(source_text, '') <> ''")
     n = n.select("id", "document_id", "sequence_index", F.length("source_text").alias("len"))
-    f = folds.ordered_fold(n, "document_id", ["sequence_index", "id"], ["len"], folds.chunk_rule(CHUNK), "chunk_no BIGINT")
+    f = folds.ranged_fold(n, "document_id", ["sequence_index", "id"], ["len"], folds.chunk_rule(CHUNK), "chunk_no")
     return f.select("document_id", F.col("id").alias("node_id"), "chunk_no")
 
 
@@ -107,7 +107,7 @@ def unit_pack(spark, sf_dir):
     tokens = F.coalesce(F.nullif("token_count", F.lit(0)), estimate_tokens(F.col("source_text")))
     n = n.select("id", "document_id", "sequence_index", "node_type", "heading_level", tokens.alias("tokens"))
     rule = folds.unit_rule(1_200, 2_400, 150, frozenset(ATOMIC_TYPES))
-    f = folds.ordered_fold(n, "document_id", ["sequence_index", "id"], ["tokens", "node_type", "heading_level"], rule, "unit_no BIGINT")
+    f = folds.ranged_fold(n, "document_id", ["sequence_index", "id"], ["tokens", "node_type", "heading_level"], rule, "unit_no")
     f = f.join(n.select(F.col("id").alias("n_id"), "tokens"), F.col("id") == F.col("n_id"))
     g = f.groupBy("document_id", "unit_no").agg(F.count(F.lit(1)).alias("nodes"), F.sum("tokens").alias("tokens"), F.min_by("id", F.struct("sequence_index", "id")).alias("first_node"))
     return g.withColumn("unit_key", F.concat(F.lit("u"), F.lpad(F.col("unit_no").cast("string"), 5, "0")))

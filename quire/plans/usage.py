@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.operators.folds import limit_rule, ordered_fold
+from quire.operators.folds import limit_rule, ranged_fold
 from quire.operators.state import once, top_k
 from quire.plans import Plans
 from quire.session import table
@@ -192,5 +192,5 @@ def adaptive_limit(spark, sf_dir):
     """What an adaptive limit (two more after 5 successes) makes of each file's log of attempts."""
     a = once(table(spark, sf_dir, "translation_attempts"), "id", "unit_id", "started_at", "http_status").filter("started_at IS NOT NULL")
     a = a.join(unit_documents(spark, sf_dir), F.col("unit_id") == F.col("u_id"))
-    f = ordered_fold(a, "document_id", ["started_at", "id"], ["http_status"], limit_rule(every=5), "concurrency BIGINT")
+    f = ranged_fold(a, "document_id", ["started_at", "id"], ["http_status"], limit_rule(every=5), "concurrency")
     return f.select("document_id", F.col("id").alias("attempt_id"), "concurrency")

@@ -49,3 +49,27 @@ def test_frames(spark):
     assert a == [1 + i // 2 for i in range(30)]
     assert {(r.i, r.chunk) for r in out if r.k is None} == {(1, 1), (2, 2)} and len(out) == len(rows)
     assert folds.ordered_fold(df.limit(0), "k", ["i"], ["n"], folds.chunk_rule(12), "chunk BIGINT").count() == 0
+
+
+def test_ranges_give_what_whole_groups_give(spark):
+    rng = random.Random(7)
+    kinds = ["paragraph", "heading", "code"]
+    # one group holds most rows, so that it lies in many ranges; others begin and end inside ranges, some are tiny
+    rows = [(k, i, rng.choice([None, rng.randint(0, 40)]), rng.choice(kinds), rng.choice([None, 1, 3]), rng.choice([200, 200, 200, 429, 503, None])) for k, n in ((None, 30), ("a", 2), ("b", 3000), ("c", 1), ("d", 200)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k STRING, i BIGINT, n INT, t STRING, l INT, code INT").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rule, inputs in (
+            (folds.chunk_rule(60), ["n"]), (folds.partition_rule(50, 120, 150), ["n"]), (folds.unit_rule(60, 90, 20, frozenset({"code"})), ["n", "t", "l"]), (folds.limit_rule(16, 64, 3), ["code"]),
+            (folds.chunk_rule(10**9), ["n"]),  # the runs never meet
+        ):
+            got = {(r.k, r.i): r.x for r in folds.ranged_fold(df, "k", ["i"], inputs, rule, "x").collect()}
+            want = {}
+            for key in {r[0] for r in rows}:
+                step = rule()
+                for r in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+                    want[key, r[1]] = step(tuple(r[["k", "i", "n", "t", "l", "code"].index(c)] for c in inputs))[0]
+            assert got == want
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert folds.ranged_fold(df.limit(0), "k", ["i"], ["n"], folds.chunk_rule(), "x").count() == 0
