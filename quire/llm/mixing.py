@@ -10,8 +10,10 @@ from quire.llm.tokenizer import count_tokens
 from quire.operators.prefix import running_total
 from quire.session import Stage
 
-#: Ranges of virtual finish time into which the budget is cut; only the range in which the budget ends is sorted by rows.
-RANGES = 4_096
+#: Ranges of virtual finish time into which the uses are cut, and then that range again in which the budget ends,
+RANGES = 1_024
+#: until it has at most so many rows, which are sorted.
+EDGE_ROWS = 20_000
 
 
 def _tokens(stage: Stage, documents: DataFrame, targets: DataFrame, path: str | None, pattern: str | None) -> DataFrame:
@@ -61,19 +63,27 @@ def _queue(documents: DataFrame, targets: DataFrame, path: str | None, pattern:
         .select("doc_id", "source", "repeat_no", "tokens", "finish")
     )
     queue = stage.write(passes, "queue")
-    cut = queue.withColumn("range", F.least(F.floor(F.col("finish") / F.lit(top or 1.0) * RANGES), F.lit(RANGES - 1)))
-    sums = sorted((r.range, r.t) for r in cut.groupBy("range").agg(F.sum("tokens").alias("t")).collect())  # at most RANGES rows
-    spent, edge = 0, RANGES
-    for k, t in sums:
-        if spent + t > budget:
-            edge = k
+    # the range in which the budget ends, narrowed down by sums until its rows are few
+    low, high, spent = None, None, 0
+    while True:
+        rows_in = queue if low is None else queue.filter((F.col("finish") >= low) & (F.col("finish") <= high))
+        a, b = (0.0, top) if low is None else (low, high)
+        number = F.least(F.floor((F.col("finish") - F.lit(a)) / F.lit((b - a) / RANGES or 1.0)), F.lit(RANGES - 1))
+        sums = rows_in.groupBy(number.alias("range")).agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).collect()  # at most RANGES rows
+        edge = None
+        for r in sorted(sums, key=lambda r: r.range):
+            if spent + r.t > budget:
+                edge = r
+                break
+            spent += r.t
+        if edge is None:  # the budget covers all
+            return queue, per, budget
+        low, high = edge.first, edge.last
+        if edge.n <= EDGE_ROWS or low == high:
             break
-        spent += t
-    w = Window.partitionBy("range").orderBy("finish", "source", "doc_id", "repeat_no").rowsBetween(Window.unboundedPreceding, 0)
-    whole = cut.filter(F.col("range") < edge)
-    last = cut.filter(F.col("range") == edge).withColumn("sum", F.sum("tokens").over(w)).filter(F.col("sum") <= budget - spent).drop("sum")
-    used = whole.unionByName(last).drop("range")
-    return used, per, budget
+    w = Window.orderBy("finish", "source", "doc_id", "repeat_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = queue.filter((F.col("finish") >= low) & (F.col("finish") <= high)).withColumn("sum", F.sum("tokens").over(w)).filter(F.col("sum") <= budget - spent).drop("sum")
+    return queue.filter(F.col("finish") < low).unionByName(last), per, budget
 
 
 def mixture(documents: DataFrame, targets: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
