@@ -1,7 +1,8 @@
 """Parent-child rows to full hierarchies, by heavy-path decomposition after cycle separation.
 
 All loops are over powers of two or over light edges, so the number of rounds grows with the
-logarithm of the depth, not with the depth; each round is one equi-join on ids.
+logarithm of the depth, not with the depth; each round is one equi-join on ids.  All joins are between
+tables that grow with the rows, whose written sizes say little about memory, so none of them is broadcast.
 """
 
 from __future__ import annotations
@@ -46,14 +47,14 @@ def _double(stage: Stage, state: DataFrame, name: str, sums: list[str], sizes: b
     up = state.select(
         F.col("id").alias("u_id"), F.col("anc").alias("u_anc"), F.col("top").alias("u_top"), *[F.col(c).alias(f"u_{c}") for c in sums]
     )
-    new = state.filter(F.col("anc").isNotNull()).join(up, F.col("anc") == F.col("u_id")).select(
+    new = state.filter(F.col("anc").isNotNull()).join(up.hint("merge"), F.col("anc") == F.col("u_id")).select(
         "id", F.col("u_anc").alias("anc"), F.col("u_top").alias("top"),
         *[(F.col(c) + F.col(f"u_{c}")).alias(c) for c in sums],
         *[c for c in state.columns if c not in ("id", "anc", "top", *sums)],
     ).unionByName(state.filter(F.col("anc").isNull()))
     if sizes:
         add = state.filter(F.col("anc").isNotNull()).groupBy(F.col("anc").alias("a_id")).agg(F.sum("size").alias("add"))
-        new = new.join(add, F.col("id") == F.col("a_id"), "left").withColumn("size", F.col("size") + F.coalesce("add", F.lit(0))).drop("a_id", "add")
+        new = new.join(add.hint("merge"), F.col("id") == F.col("a_id"), "left").withColumn("size", F.col("size") + F.coalesce("add", F.lit(0))).drop("a_id", "add")
     out = stage.write(new, name)
     stage.drop(state)
     return out
@@ -84,7 +85,7 @@ def _separate(stage: Stage, base: DataFrame) -> tuple[DataFrame, DataFrame]:
         active = left
     rest = state.filter("anc IS NOT NULL")
     on = rest.select(F.col("anc").alias("c_id")).distinct()
-    cyclic = rest.select("id").join(on, F.col("id") == F.col("c_id"), "left").select("id", F.col("c_id").isNotNull().alias("on_cycle"))
+    cyclic = rest.select("id").join(on.hint("merge"), F.col("id") == F.col("c_id"), "left").select("id", F.col("c_id").isNotNull().alias("on_cycle"))
     return state.filter("anc IS NULL").drop("anc").withColumnRenamed("top", "root").withColumn("depth", F.col("depth") - 1), cyclic
 
 
@@ -108,7 +109,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     par = n.select(
         F.col("id").alias("p_id"), F.col("document_id").alias("p_document_id"), F.col("is_heading").alias("p_is_heading"), F.col("heading_level").alias("p_level")
     )
-    linked = n.join(par, F.col("parent_id") == F.col("p_id"), "left")
+    linked = n.join(par.hint("merge"), F.col("parent_id") == F.col("p_id"), "left")
     base = linked.select(
         "id", F.col("p_id").alias("parent"),
         ((F.col("parent_id").isNotNull() & F.col("p_id").isNull()) | (F.col("p_id").isNotNull() & ~F.col("document_id").eqNullSafe(F.col("p_document_id")))).alias("broken"),
@@ -116,7 +117,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     tree, cyclic = _separate(stage, base)
 
     # heavy child: the largest subtree, of equals the least id; partial aggregates absorb hot parents
-    t = tree.join(n.select("id", "parent_id", "is_heading", "title"), "id").withColumn(
+    t = tree.join(n.select("id", "parent_id", "is_heading", "title").hint("merge"), "id").withColumn(
         "parent_id", F.when(F.col("depth") > 0, F.col("parent_id"))
     )
     t = stage.write(t, "tree")
@@ -124,28 +125,28 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     heavy = kids.groupBy(F.col("parent_id").alias("h_parent")).agg(F.max(F.struct("size", (-F.col("id")).alias("neg"))).alias("h"))
     heavy = heavy.select("h_parent", (-F.col("h.neg")).alias("heavy_id"), F.col("h.size").alias("heavy_size"))
     heavy = stage.write(heavy, "heavy")
-    inner = t.join(heavy, F.col("id") == F.col("h_parent"), "left_semi")
+    inner = t.join(heavy.hint("merge"), F.col("id") == F.col("h_parent"), "left_semi")
     # chains over the inner nodes only: a leaf takes its place from its parent
-    links = inner.join(heavy.select("heavy_id", "h_parent"), F.col("id") == F.col("heavy_id"), "left")
+    links = inner.join(heavy.select("heavy_id", "h_parent").hint("merge"), F.col("id") == F.col("heavy_id"), "left")
     state = stage.write(links.select("id", F.col("h_parent").alias("anc"), F.col("id").alias("top")), "chain")
     while not state.filter("anc IS NOT NULL").isEmpty():
         state = _double(stage, state, "chain", [], sizes=False)
     # light siblings after the heavy child, in any fixed order: here that of a hash of the id
-    light = kids.join(heavy.select("heavy_id"), F.col("id") == F.col("heavy_id"), "left_anti")
+    light = kids.join(heavy.select("heavy_id").hint("merge"), F.col("id") == F.col("heavy_id"), "left_anti")
     light = running_total(light.select("id", "parent_id", "size"), ["parent_id"], F.xxhash64("id"), ["id"], F.col("size"), "before", rows)
-    light = light.join(heavy.select("h_parent", "heavy_size"), F.col("parent_id") == F.col("h_parent")).select(
+    light = light.join(heavy.select("h_parent", "heavy_size").hint("merge"), F.col("parent_id") == F.col("h_parent")).select(
         F.col("id").alias("l_id"), (F.col("before") + F.col("heavy_size") + 1).alias("offset")
     )
     light = stage.write(light, "light")
-    member = inner.join(state.select(F.col("id").alias("m_id"), F.col("top").alias("head")), F.col("id") == F.col("m_id")).drop("m_id")
+    member = inner.join(state.select(F.col("id").alias("m_id"), F.col("top").alias("head")).hint("merge"), F.col("id") == F.col("m_id")).drop("m_id")
     member = stage.write(member, "member")
     # a chain is part of one path from a root, so its array is no longer than the tree is deep
     segments = member.groupBy("head").agg(
         F.sort_array(F.collect_list(F.struct("depth", F.when(F.col("is_heading"), F.col("title")).alias("title")))).alias("seg")
     )
-    heads = member.filter("id = head").select("head", "parent_id", "depth").join(light, F.col("head") == F.col("l_id"), "left").drop("l_id")
+    heads = member.filter("id = head").select("head", "parent_id", "depth").join(light.hint("merge"), F.col("head") == F.col("l_id"), "left").drop("l_id")
     up = member.select(F.col("id").alias("a_id"), F.col("head").alias("a_head"), F.col("depth").alias("a_depth"))
-    heads = heads.join(up, F.col("parent_id") == F.col("a_id"), "left").join(segments, "head")
+    heads = heads.join(up.hint("merge"), F.col("parent_id") == F.col("a_id"), "left").join(segments.hint("merge"), "head")
     heads = stage.write(heads.select("head", "depth", "offset", "a_head", "a_depth", "seg"), "heads")
 
     def titles(seg: Column, upto: Column) -> Column:
@@ -156,7 +157,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     # each light edge at least halves the subtree: at most log2(rows) rounds
     while True:
         f = done.select(F.col("head").alias("f_head"), F.col("depth").alias("f_depth"), F.col("seg").alias("f_seg"), F.col("prefix").alias("f_prefix"), F.col("start").alias("f_start"))
-        nxt = heads.join(f, F.col("a_head") == F.col("f_head")).select(
+        nxt = heads.join(f.hint("merge"), F.col("a_head") == F.col("f_head")).select(
             "head", "depth", "seg",
             F.concat("f_prefix", titles(F.col("f_seg"), F.col("a_depth"))).alias("prefix"),
             (F.col("f_start") + F.col("a_depth") - F.col("f_depth") + F.col("offset")).alias("start"),
@@ -170,7 +171,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
         chains = chains.unionByName(p)
     placed = chains.select(
         F.col("head").alias("c_head"), F.col("depth").alias("c_depth"), "start", "prefix", "seg"
-    ).join(member.select("id", "head", "depth"), F.col("c_head") == F.col("head")).select(
+    ).join(member.select("id", "head", "depth").hint("merge"), F.col("c_head") == F.col("head")).select(
         F.col("id").alias("i_id"),
         F.concat("prefix", titles(F.col("seg"), F.col("depth"))).alias("i_titles"),
         (F.col("start") + F.col("depth") - F.col("c_depth")).alias("i_pre"),
@@ -178,11 +179,11 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     placed = stage.write(placed, "placed")
     none = F.array().cast("array<string>")
     own = F.when(F.col("is_heading"), F.array("title")).otherwise(none)
-    a = t.join(placed, F.col("id") == F.col("i_id")).select("id", "root", "depth", "size", "broken", F.array_join("i_titles", SEPARATOR).alias("path"), F.col("i_pre").alias("pre"))
-    leaves = t.join(heavy, F.col("id") == F.col("h_parent"), "left_anti")
+    a = t.join(placed.hint("merge"), F.col("id") == F.col("i_id")).select("id", "root", "depth", "size", "broken", F.array_join("i_titles", SEPARATOR).alias("path"), F.col("i_pre").alias("pre"))
+    leaves = t.join(heavy.hint("merge"), F.col("id") == F.col("h_parent"), "left_anti")
     b = (
-        leaves.join(placed, F.col("parent_id") == F.col("i_id"), "left")
-        .join(light, F.col("id") == F.col("l_id"), "left")
+        leaves.join(placed.hint("merge"), F.col("parent_id") == F.col("i_id"), "left")
+        .join(light.hint("merge"), F.col("id") == F.col("l_id"), "left")
         .select(
             "id", "root", "depth", "size", "broken",
             F.array_join(F.concat(F.coalesce("i_titles", none), own), SEPARATOR).alias("path"),
@@ -192,7 +193,7 @@ def hierarchy(nodes: DataFrame) -> tuple[DataFrame, DataFrame, Stage]:
     known = a.unionByName(b).select(
         F.col("id").alias("k_id"), F.col("root").alias("root_id"), "depth", "path", "pre", F.col("size").alias("subtree_size"), (F.col("broken") == 0).alias("intact")
     )
-    out = linked.join(known, F.col("id") == F.col("k_id"), "left").select(
+    out = linked.join(known.hint("merge"), F.col("id") == F.col("k_id"), "left").select(
         "id", "document_id", "parent_id", F.col("p_id").isNotNull().alias("parent_exists"), F.col("p_document_id").alias("parent_document_id"),
         F.col("p_is_heading").alias("parent_is_heading"), F.col("p_level").alias("parent_level"), "heading_level", "is_heading", "heading_path",
         "root_id", "depth", "path", "pre", "subtree_size", "intact",
