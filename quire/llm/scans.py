@@ -254,17 +254,17 @@ def _headers(raw: DataFrame) -> DataFrame:
     whatever its digits, does so in FILES files, or is the title of FILES files."""
     lines = raw.filter("what = 'line'").select("id", "document_id", F.col("n").alias("line_no"), "key", F.col("text").alias("masked"), "apart").distinct()
     titles = raw.filter("what = 'title'").select(F.col("document_id").alias("t_document_id"), F.col("key").alias("t_key")).distinct()
-    by_title = lines.join(titles, F.col("document_id").eqNullSafe(F.col("t_document_id")) & (F.col("key") == F.col("t_key")), "left_semi")
+    by_title = lines.join(titles.hint("merge"), F.col("document_id").eqNullSafe(F.col("t_document_id")) & (F.col("key") == F.col("t_key")), "left_semi")
     apart = lines.filter("apart")
     recurring = (
         apart.groupBy(F.col("document_id").alias("r_document_id"), F.col("key").alias("r_key")).agg(F.count_distinct("id").alias("nodes")).filter("nodes >= 2")
     )
-    by_file = apart.join(recurring, F.col("document_id").eqNullSafe(F.col("r_document_id")) & (F.col("key") == F.col("r_key")), "left_semi")
+    by_file = apart.join(recurring.hint("merge"), F.col("document_id").eqNullSafe(F.col("r_document_id")) & (F.col("key") == F.col("r_key")), "left_semi")
     again = apart.groupBy("document_id", "masked").agg(F.count_distinct("id").alias("nodes")).filter("nodes >= 2")
     everywhere = again.groupBy(F.col("masked").alias("e_key")).agg(F.count(F.lit(1)).alias("files")).filter(F.col("files") >= FILES)
-    by_all = apart.join(everywhere, F.col("masked") == F.col("e_key"), "left_semi")
+    by_all = apart.join(everywhere.hint("merge"), F.col("masked") == F.col("e_key"), "left_semi")
     books = raw.filter("what = 'title' AND apart").groupBy(F.col("key").alias("b_key")).agg(F.count_distinct("document_id").alias("files")).filter(F.col("files") >= FILES)
-    by_book = apart.join(books, F.col("key") == F.col("b_key"), "left_semi")
+    by_book = apart.join(books.hint("merge"), F.col("key") == F.col("b_key"), "left_semi")
     found = by_title.unionByName(by_file).unionByName(by_all).unionByName(by_book)
     return found.groupBy(F.col("id").alias("h_id")).agg(F.collect_set("line_no").alias("headers"))
 
@@ -343,7 +343,7 @@ def _look_up(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["best", "best_n"]).astype({"best_n": "Int64"})
 
     t = tokens.withColumn("skel", skeleton_column(F.col("token")))
-    t = t.join(vocabulary.select("word", "n"), F.col("token") == F.col("word"), "left").join(classes, F.col("skel") == F.col("c_skel"), "left")
+    t = t.join(vocabulary.select("word", "n").hint("merge"), F.col("token") == F.col("word"), "left").join(classes.hint("merge"), F.col("skel") == F.col("c_skel"), "left")
     n = F.coalesce("n", F.lit(0).cast("bigint"))
     asked = F.coalesce(F.col("most") >= DWARFED * n, F.lit(False))
     unknown = t.filter(asked).withColumn("x", best("token", n, "c")).select("token", F.when(F.col("x.best").isNull(), n).otherwise(0).alias("n"), "x.best", "x.best_n")
@@ -372,7 +372,7 @@ def findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = [w for w in common if len(w) <= CONTEXT_LETTERS and w.isalpha()]
     twins = {w: t for w in short if (t := [x for x in short if x != w and confusions(w, x) == 1])}
     scanned = raw.filter("what = 'node'").groupBy("id").agg(F.min(F.struct("text", F.col("key").alias("pages"))).alias("s")).select("id", "s.*")
-    scanned = scanned.join(_headers(raw), F.col("id") == F.col("h_id"), "left").drop("h_id")
+    scanned = scanned.join(_headers(raw).hint("merge"), F.col("id") == F.col("h_id"), "left").drop("h_id")
     scanned = stage.write(scanned, "scanned")
     seen = stage.write(_scan(scanned, list(common), twins), "seen")
 
@@ -381,11 +381,11 @@ def findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     tokens = words.select(F.col("a").alias("token")).unionByName(breaks.select(F.explode(F.array("a", "b", "joined", "dashed")).alias("token"))).distinct()
     found = stage.write(_look_up(tokens, vocabulary), "found")
     bad = found.filter("best IS NOT NULL")
-    characters = words.join(bad, F.col("a") == F.col("token")).select("node_id", "line_no", "a", "best")
+    characters = words.join(bad.hint("merge"), F.col("a") == F.col("token")).select("node_id", "line_no", "a", "best")
 
     # both parts and both ways to join them are looked up in one join
     names, keys = ("a", "b", "joined", "dashed"), breaks.columns
-    parts = breaks.select("*", F.posexplode(F.array(*names)).alias("which", "part")).join(found, F.col("part") == F.col("token"), "left")
+    parts = breaks.select("*", F.posexplode(F.array(*names)).alias("which", "part")).join(found.hint("merge"), F.col("part") == F.col("token"), "left")
     any_n = F.coalesce(F.when(F.col("n") > 0, F.col("n")), "best_n", F.lit(0))
     of = lambda k, c: F.max(F.when(F.col("which") == k, c))
     breaks = parts.groupBy(*keys).agg(*[of(k, any_n).alias(f"{x}_any") for k, x in enumerate(names)], *[of(k, F.col("best")).alias(f"{x}_best") for k, x in enumerate(names)])
@@ -410,10 +410,10 @@ def findings(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.struct(F.concat_ws(" ", "before", "a").alias("key"), F.lit(True).alias("own")), F.struct(F.concat_ws(" ", "a", "after").alias("key"), F.lit(True).alias("own")),
         F.struct(F.concat_ws(" ", "before", "twin").alias("key"), F.lit(False).alias("own")), F.struct(F.concat_ws(" ", "twin", "after").alias("key"), F.lit(False).alias("own")),
     )).alias("x")).select("before", "a", "after", "twin", "x.*")
-    score = looked.join(pairs, "key", "left").groupBy("before", "a", "after", "twin").agg(
+    score = looked.join(pairs.hint("merge"), "key", "left").groupBy("before", "a", "after", "twin").agg(
         F.sum(F.when(F.col("own"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("own"), F.sum(F.when(~F.col("own"), F.coalesce("n", F.lit(0))).otherwise(0)).alias("other")
     ).filter("other >= 20 AND other >= 50 * own").select(F.col("before").alias("s_before"), F.col("a").alias("s_a"), F.col("after").alias("s_after"), F.col("twin").alias("s_twin"))
-    odd = context.join(score, (F.col("mark") == F.col("s_before")) & (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_after")) & (F.col("twin") == F.col("s_twin")))
+    odd = context.join(score.hint("merge"), (F.col("mark") == F.col("s_before")) & (F.col("a") == F.col("s_a")) & (F.col("b") == F.col("s_after")) & (F.col("twin") == F.col("s_twin")))
     characters = characters.unionByName(odd.select("node_id", "line_no", "a", F.col("twin").alias("best")))
 
     none = F.lit(None)
@@ -483,7 +483,7 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
                     rows.append((i, len(lines) + 1, glued, False))
             yield pd.DataFrame(rows, columns=["node_id", "line_no", "line", "opens"])
 
-    kept = scanned.join(fixes, F.col("id") == F.col("f_id"), "left").select("id", "text", "fixes").mapInPandas(run, "node_id BIGINT, line_no INT, line STRING, opens BOOLEAN")
+    kept = scanned.join(fixes.hint("merge"), F.col("id") == F.col("f_id"), "left").select("id", "text", "fixes").mapInPandas(run, "node_id BIGINT, line_no INT, line STRING, opens BOOLEAN")
     kept = stage.write(kept, "lines")
     by_node = Window.partitionBy("node_id").orderBy("line_no")
     kept = kept.withColumn("paragraph_no", (F.sum(F.col("opens").cast("int")).over(by_node) + 1).cast("int"))
