@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import records as R
@@ -104,8 +105,12 @@ def capsule_chain(spark, sf_dir):
     c = table(spark, sf_dir, "style_capsules").select("document_id", "version", "id", "terminology_json")
     first = c.select("document_id", "version", F.explode(F.map_keys(F.from_json("terminology_json", "map<string,string>"))).alias("term")).groupBy("document_id", "term").agg(F.min("version").alias("first_version"))
     new = first.groupBy(F.col("document_id").alias("n_doc"), "first_version").agg(F.count(F.lit(1)).alias("new_terms"))
-    j = c.join(new, (F.col("document_id") == F.col("n_doc")) & (F.col("first_version") <= F.col("version")), "left")
-    return j.groupBy("document_id", "version", F.col("id").alias("capsule_id")).agg(F.coalesce(F.sum("new_terms"), F.lit(0)).alias("known_terms"))
+    # a running sum over the versions of a file; each term counts at the version that first has it
+    sums = c.select("document_id", "version").distinct().join(new, (F.col("document_id") == F.col("n_doc")) & (F.col("version") == F.col("first_version")), "left")
+    w = Window.partitionBy("document_id").orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(F.col("document_id").alias("s_doc"), F.col("version").alias("s_version"), F.coalesce(F.sum("new_terms").over(w), F.lit(0)).alias("known_terms"))
+    j = c.join(sums, F.col("document_id").eqNullSafe(F.col("s_doc")) & F.col("version").eqNullSafe(F.col("s_version")))
+    return j.select("document_id", "version", F.col("id").alias("capsule_id"), "known_terms")
 
 
 @P.add("""
