@@ -275,9 +275,9 @@ s AS (SELECT memory_id FROM d WHERE (symbol OR word) AND status = 'active'),
 hop AS (SELECT target_memory_id AS memory_id, list_sort(list(DISTINCT 'relation_from:' || e.memory_id || ':same_topic')) AS hops FROM edges e JOIN s USING (memory_id) GROUP BY ALL),
 m AS (SELECT d.*, CASE WHEN symbol THEN 2 WHEN word THEN 3 ELSE 4 END AS best, list_filter(list_concat([CASE WHEN symbol THEN 'symbol_match:Well-documented' END, CASE WHEN word THEN 'keyword_match:selection bias' END], coalesce(hops, [])), lambda x: x IS NOT NULL) AS reasons
   FROM d LEFT JOIN hop USING (memory_id) WHERE symbol OR word OR hops IS NOT NULL),
-required AS (SELECT sum(tokens) AS t FROM m WHERE symbol AND status = 'active')
+required AS (SELECT sum(tokens) FILTER (symbol AND status = 'active') AS t, count_if(status = 'active' AND (symbol OR tokens + coalesce((SELECT sum(tokens) FROM m WHERE symbol AND status = 'active'), 0) <= {BUDGET})) AS taken FROM m)
 SELECT memory_id AS document_id, CASE WHEN status <> 'active' THEN 'status_filtered:' || status END AS excluded, CASE best WHEN 2 THEN 'required' WHEN 3 THEN 'relevant' ELSE 'related' END AS priority, array_to_string(reasons, '|') AS reasons,
-  CASE WHEN t > {BUDGET} THEN 'required context exceeds budget by ' || (t - {BUDGET})::BIGINT || ' token(s)' ELSE '' END AS warning FROM m, required
+  CASE WHEN t > {BUDGET} THEN 'required context exceeds budget by ' || (t - {BUDGET})::BIGINT || ' token(s)' WHEN taken = 0 THEN 'no eligible context documents matched the request' ELSE '' END AS warning FROM m, required
 """)
 def context_related(spark, sf_dir):
     """Context documents with one hop over relations, all reasons in their order, and the warning about the budget."""
